@@ -1,0 +1,141 @@
+"""Strategies against a nested-loop definition, edge cases and plans."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tributary import Predicate, join
+from tributary.operators.ranking import row_numbers
+from tributary.plans import flush
+from tributary.plans.queries import LAYOUT
+
+BATCH = ["nested_loop", "block_nested_loop", "ordered_merge", "sort_merge", "simple_hash"]
+KEY = Predicate.equi("a", "b")
+
+#: Left and right keys of the fixtures in FIXTURES.md, with the rows that they give.
+FIXTURES = {
+    "duplicates": ([1, 3, 3, 3, 3, 3, 3, 3, 3, 4, 7, 18], [0, 1, 3, 3, 3, 7, 42, 45], 26),
+    "one key": ([0] * 6, [0] * 6, 36),
+    "reversed": (list(range(20)), list(range(19, -1, -1)), 20),
+    "rotated": (list(range(20)), [*range(10, 20), *range(10)], 20),
+    "empty left": ([], [1], 0),
+    "empty right": ([1], [], 0),
+    "nulls": ([1, None], [1, None], 1),
+}
+
+
+def frames(spark, left, right):
+    return (spark.createDataFrame([(x,) for x in left], "a int"), spark.createDataFrame([(x,) for x in right], "b int"))
+
+
+@pytest.mark.parametrize("strategy", BATCH)
+@pytest.mark.parametrize("fixture", list(FIXTURES))
+def test_fixture(spark, strategy, fixture):
+    left, right, n = FIXTURES[fixture]
+    rows = join(*frames(spark, left, right), KEY, strategy).collect()
+    assert len(rows) == n and all(a == b for a, b in rows)
+
+
+def test_random_inputs_agree_with_the_definition(spark):
+    rng = random.Random(7)
+    for _ in range(2):
+        left = [rng.choice([None, *range(5)]) for _ in range(rng.randrange(30))]
+        right = [rng.choice([None, *range(5)]) for _ in range(rng.randrange(30))]
+        plain = Counter((x, y) for x in left for y in right if x is not None and x == y)
+        safe = Counter((x, y) for x in left for y in right if x == y)
+        for strategy in BATCH:
+            assert Counter(map(tuple, join(*frames(spark, left, right), KEY, strategy).collect())) == plain
+            null_safe = Predicate.equi("a", "b", null_safe=True)
+            assert Counter(map(tuple, join(*frames(spark, left, right), null_safe, strategy).collect())) == safe
+
+
+def test_nan(spark):
+    left = spark.createDataFrame([(math.nan,), (0.0,)], "a double")
+    right = spark.createDataFrame([(math.nan,), (-0.0,)], "b double")
+    assert join(left, right, KEY).count() == 2
+    assert join(left, right, Predicate.equi("a", "b", nan_never_matches=True)).count() == 1
+
+
+def test_swap_keeps_rows(spark):
+    left, right = frames(spark, [2], [1, 2])
+    assert join(right, left, KEY.swap(), "sort_merge").collect() == [(2, 2)]
+
+
+@pytest.mark.parametrize(("config", "expected"), [({}, []), ({"mode": "bag", "order_by": ["v"]}, ["b"]), ({"mode": "bag", "order_by": ["v"], "block_rows": 1}, [])])
+def test_anti_modes_on_a_repeated_key(spark, config, expected):
+    left = spark.createDataFrame([(1, "a"), (1, "b")], "a int, v string")
+    right = spark.createDataFrame([(1,)], "b int")
+    assert [r.v for r in join(left, right, KEY, "anti", **config).collect()] == expected
+
+
+def test_anti_set(spark):
+    left, right = frames(spark, range(60), range(50))
+    assert sorted(r.a for r in join(left, right, KEY, "anti").collect()) == list(range(50, 60))
+    assert join(left, right.limit(0), KEY, "anti").count() == 60
+
+
+def test_bag_anti_against_a_model(spark):
+    rng = random.Random(3)
+    left = [(rng.choice([None, 0, 1, 2]), i) for i in range(40)]
+    right = [rng.choice([None, 0, 1, 3]) for _ in range(9)]
+    for block in (None, 7):
+        expected = []
+        for at in range(0, 40, block or 40):
+            held = {}
+            for k, i in left[at : at + (block or 40)]:
+                held.setdefault(k, []).append(i)
+            for k in right:
+                if k is not None and held.get(k):
+                    held[k][0] = held[k][-1]
+                    held[k].pop()
+            expected += [i for v in held.values() for i in v]
+        got = join(spark.createDataFrame(left, "a int, i int"), spark.createDataFrame([(k,) for k in right], "b int"), KEY, "anti", mode="bag", order_by=["i"], block_rows=block)
+        assert sorted(r.i for r in got.collect()) == sorted(expected)
+
+
+def test_row_numbers_over_a_hot_key(spark):
+    frame = spark.range(1000).select((F.col("id") % 10 == 0).alias("k"), F.col("id").alias("v"))
+    rows = row_numbers(frame, [F.col("k")], [F.col("v")], "n").collect()
+    for k in (True, False):
+        got = sorted((r.v, r.n) for r in rows if r.k == k)
+        assert [n for _, n in got] == list(range(1, len(got) + 1))
+
+
+@pytest.mark.parametrize(("strategy", "node"), [("nested_loop", "CartesianProduct"), ("block_nested_loop", "BroadcastNestedLoopJoin"), ("sort_merge", "SortMergeJoin"), ("simple_hash", "ShuffledHashJoin")])
+def test_the_hint_decides_the_plan(spark, strategy, node):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = join(*frames(spark, [1], [1]), KEY, strategy)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert node in plan
+
+
+def test_a_large_side_is_not_broadcast(spark):
+    plan = join(*frames(spark, [1], [1]), KEY, "block_nested_loop", broadcast_limit=0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+def test_policies_on_the_published_layout(spark):
+    stats = spark.createDataFrame(LAYOUT, "part int, l bigint, r bigint")
+    assert flush.flush_smallest(stats).first().part == 3
+    assert flush.flush_largest(stats).first().part == 4
+    for (a, b), part in {(10, 0.25): 1, (10, 0.10): 2, (1, 0.10): 4}.items():
+        assert flush.flush_adaptive(stats, a, b).first().part == part
+
+
+@pytest.mark.parametrize(("strategy", "config"), [("simple_hash", {"memory_rows": 0}), ("block_nested_loop", {"block_rows": 0}), ("anti", {"mode": "bag", "order_by": ["a"], "block_rows": 0})])
+def test_zero_limits_are_refused(spark, strategy, config):
+    with pytest.raises(ValueError, match="positive"):
+        join(*frames(spark, [1], [1]), KEY, strategy, **config)
+
+
+def test_name_clashes_need_suffixes(spark):
+    left = spark.createDataFrame([(1, 2)], "a int, x int")
+    right = spark.createDataFrame([(1, 3)], "b int, x int")
+    with pytest.raises(ValueError, match="both sides"):
+        join(left, right, KEY)
+    assert join(left, right, KEY.with_suffixes("_l", "_r")).columns == ["a", "x_l", "b", "x_r"]

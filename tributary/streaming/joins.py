@@ -1,0 +1,97 @@
+"""Progressive joins. Spark has one stream-stream join; the four strategies choose its state store, batch size and state
+bound, and all deliver the complete inner join, early results first. State is kept for ever, unless the caller adds
+watermarks and a time condition."""
+
+from __future__ import annotations
+
+import json
+import time
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from tributary.functions.predicate import Predicate
+from tributary.sources.staging import fresh_path
+
+HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class StateLimitExceeded(RuntimeError):
+    """The rows held by a join passed the limit that the caller set."""
+
+
+def _inner(left: DataFrame, right: DataFrame, pred: Predicate, what: str) -> DataFrame:
+    if not pred.has_keys:
+        raise ValueError(f"{what} needs equality keys: Spark joins two streams by key only")
+    b = pred.bind(left, right)
+    return b.finish(b.first.join(b.second, b.condition, "inner"))
+
+
+def symmetric_hash(left: DataFrame, right: DataFrame, pred: Predicate) -> DataFrame:
+    """Both sides held in hash state in memory; see `run` for the limit of rows held."""
+    left.sparkSession.conf.set(PROVIDER, HEAP_STATE)
+    return _inner(left, right, pred, "symmetric_hash")
+
+
+def progressive_merge(left: DataFrame, right: DataFrame, pred: Predicate) -> DataFrame:
+    """Joins what each micro-batch brought with all that came before."""
+    left.sparkSession.conf.set(PROVIDER, HEAP_STATE)
+    return _inner(left, right, pred, "progressive_merge")
+
+
+def xjoin(left: DataFrame, right: DataFrame, pred: Predicate) -> DataFrame:
+    """State in RocksDB, which spills to disk."""
+    left.sparkSession.conf.set(PROVIDER, DISK_STATE)
+    return _inner(left, right, pred, "xjoin")
+
+
+def hash_merge(left: DataFrame, right: DataFrame, pred: Predicate, num_partitions: int | None = None) -> DataFrame:
+    """State in RocksDB, dealt over `num_partitions` stores. Eviction order is RocksDB's own; the policies of
+    tributary.plans.flush decide it only where runs are kept explicitly."""
+    spark = left.sparkSession
+    spark.conf.set(PROVIDER, DISK_STATE)
+    if num_partitions is not None:
+        if num_partitions <= 0:
+            raise ValueError("num_partitions must be positive")
+        spark.conf.set("spark.sql.shuffle.partitions", str(num_partitions))
+    return _inner(left, right, pred, "hash_merge")
+
+
+@dataclass(frozen=True)
+class Finished:
+    """The rows a stream wrote, and one entry of progress for each micro-batch."""
+
+    rows: DataFrame
+    progress: list[dict]
+
+
+def _held(progress: dict) -> int:
+    return sum(op["numRowsTotal"] for op in progress.get("stateOperators", []))
+
+
+def run(spark: SparkSession, joined: DataFrame, max_state_rows: int | None = None, poll_s: float = 0.2) -> Finished:
+    """Runs a joined stream over all input there is, to Parquet in the shared folder. Past `max_state_rows` rows of
+    state it stops and raises StateLimitExceeded."""
+    out = fresh_path(spark, "stream-out")
+    query: StreamingQuery = joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True).start()
+    try:
+        while query.isActive:
+            time.sleep(poll_s)
+            _guard(query, max_state_rows)
+        query.awaitTermination()
+        _guard(query, max_state_rows)
+    finally:
+        query.stop()
+    progress = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    return Finished(spark.read.schema(joined.schema).parquet(out), progress)
+
+
+def _guard(query: StreamingQuery, limit: int | None) -> None:
+    if limit is not None:
+        for p in query.recentProgress:
+            if _held(p) > limit:
+                query.stop()
+                raise StateLimitExceeded(f"{_held(p)} rows held; the limit is {limit}")
