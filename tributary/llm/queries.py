@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm.exact_dedup import exact_dedup
+from tributary.llm.sentencepiece_codec import encode_digests
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,8 +23,13 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf))
 
 
+def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_digests(_documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
