@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm.exact_dedup import exact_dedup
 from tributary.llm.sentencepiece_codec import encode_digests
+from tributary.llm.token_counts import token_counts
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,9 +28,14 @@ def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return encode_digests(_documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
