@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary.llm.exact_dedup import exact_dedup
 from tributary.llm.sentencepiece_codec import encode_digests
 from tributary.llm.token_counts import token_counts
+from tributary.llm.token_store import token_round_trip
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return encode_digests(_documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    return token_round_trip(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +40,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_token_store": op8_token_store,
     "op10_token_counts": op10_token_counts,
 }
 
