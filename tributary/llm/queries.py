@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tributary.llm.exact_dedup import exact_dedup
+from tributary.llm.folds import fold
+from tributary.llm.language_id import identify
 from tributary.llm.sentencepiece_codec import encode_digests
 from tributary.llm.token_counts import token_counts
 from tributary.llm.token_store import token_round_trip
@@ -21,6 +24,10 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/labels.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(_documents(spark, sf), fold(F.col("doc_id"), 3) == 1)
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf))
 
@@ -38,6 +45,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_store": op8_token_store,
