@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tributary.llm.exact_dedup import exact_dedup
 from tributary.llm.folds import fold
 from tributary.llm.language_id import identify
+from tributary.llm.order_minhash import edit_report
 from tributary.llm.sentencepiece_codec import encode_digests
 from tributary.llm.token_counts import token_counts
 from tributary.llm.token_store import token_round_trip
@@ -28,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify(_documents(spark, sf), fold(F.col("doc_id"), 3) == 1)
 
 
+def op4_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_report(_documents(spark, sf))
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf))
 
@@ -46,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_order_minhash": op4_order_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_store": op8_token_store,
