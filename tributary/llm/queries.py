@@ -15,6 +15,7 @@ from tributary.llm.order_minhash import edit_report
 from tributary.llm.sentencepiece_codec import encode_digests
 from tributary.llm.token_counts import token_counts
 from tributary.llm.token_store import token_round_trip
+from tributary.llm.toxicity import fit, score_documents
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,6 +26,11 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/labels.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = _documents(spark, sf), fold(F.col("doc_id"), 5) == 0
+    return score_documents(docs, fit(docs, _labels(spark, sf).where(~held_out)), held_out)
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify(_documents(spark, sf), fold(F.col("doc_id"), 3) == 1)
 
@@ -50,6 +56,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_order_minhash": op4_order_minhash,
     "op5_exact_dedup": op5_exact_dedup,
