@@ -59,6 +59,10 @@ class WordTokens:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
         return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
+    def pre_tokens(self, part: str) -> list[str]:
+        """The words of a plain part; any other part as it is."""
+        return WORDS.findall(part.lower()) if PLAIN.fullmatch(part) and not self.special.search(part) else [part]
+
     def _part(self, part: str) -> bytes:
         if PLAIN.fullmatch(part) and not self.special.search(part):
             return b"".join(map(self.words.__getitem__, WORDS.findall(part.lower())))
@@ -68,9 +72,10 @@ class WordTokens:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.parts.__getitem__, parts(text)))
 
-    def count(self, part: str) -> int:
-        """Number of ids of a part, not remembered."""
-        return len(self._part(part)) // 4
+    def count(self, pre_token: str) -> int:
+        """Number of ids of one of `pre_tokens`, not remembered."""
+        plain = PLAIN.fullmatch(pre_token) and not self.special.search(pre_token)
+        return len(self._word(pre_token) if plain else self._part(pre_token)) // 4
 
 
 def parts(text: str) -> list[str]:
