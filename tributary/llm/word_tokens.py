@@ -52,19 +52,24 @@ class WordTokens:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.table = byte_alphabet()
         self.size = self.whole.get_vocab_size()
-        self.words = Memo(self._word, 200_000)
-        self.parts = Memo(self._part, 300_000)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.words = Memo(self._word, 300_000)
+        self.parts = Memo(self._part, 500_000)
 
     def _word(self, word: str) -> bytes:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
+
+    def _plain(self, part: str) -> bool:
+        return PLAIN.fullmatch(part) is not None and not self.special.search(part)
 
     def pre_tokens(self, part: str) -> list[str]:
         """The words of a plain part; any other part as it is."""
-        return WORDS.findall(part.lower()) if PLAIN.fullmatch(part) and not self.special.search(part) else [part]
+        return WORDS.findall(part.lower()) if self._plain(part) else [part]
 
     def _part(self, part: str) -> bytes:
-        if PLAIN.fullmatch(part) and not self.special.search(part):
+        if self._plain(part):
             return b"".join(map(self.words.__getitem__, WORDS.findall(part.lower())))
         return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -74,8 +79,7 @@ class WordTokens:
 
     def count(self, pre_token: str) -> int:
         """Number of ids of one of `pre_tokens`, not remembered."""
-        plain = PLAIN.fullmatch(pre_token) and not self.special.search(pre_token)
-        return len(self._word(pre_token) if plain else self._part(pre_token)) // 4
+        return len(self._word(pre_token) if self._plain(pre_token) else self._part(pre_token)) // 4
 
 
 def parts(text: str) -> list[str]:
