@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tributary.llm.exact_dedup import exact_dedup
 from tributary.llm.folds import fold
 from tributary.llm.language_id import identify
+from tributary.llm.ngram_join import ngram_join
 from tributary.llm.order_minhash import edit_report
 from tributary.llm.sentencepiece_codec import encode_digests
 from tributary.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/labels.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join(_documents(spark, sf))
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = _documents(spark, sf), fold(F.col("doc_id"), 5) == 0
     return score_documents(docs, fit(docs, _labels(spark, sf).where(~held_out)), held_out)
@@ -56,6 +61,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_order_minhash": op4_order_minhash,
