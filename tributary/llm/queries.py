@@ -14,6 +14,7 @@ from tributary.llm.language_id import identify
 from tributary.llm.ngram_join import ngram_join
 from tributary.llm.order_minhash import edit_report
 from tributary.llm.sentencepiece_codec import encode_digests
+from tributary.llm.suffix_dedup import suffix_digests
 from tributary.llm.token_counts import token_counts
 from tributary.llm.token_store import token_round_trip
 from tributary.llm.toxicity import fit, score_documents
@@ -56,6 +57,10 @@ def op8_token_store(spark: SparkSession, sf: str) -> DataFrame:
     return token_round_trip(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_digests(_documents(spark, sf))
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_store": op8_token_store,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
