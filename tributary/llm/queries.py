@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tributary.llm.exact_dedup import exact_dedup
 from tributary.llm.folds import fold
 from tributary.llm.language_id import identify
+from tributary.llm.mixing import mix_report
 from tributary.llm.ngram_join import ngram_join
 from tributary.llm.order_minhash import edit_report
 from tributary.llm.sentencepiece_codec import encode_digests
@@ -53,6 +54,15 @@ def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return encode_digests(_documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: The labelled table's domains as SQL, and what share of the tokens each is to have.
+DOMAIN = "case when toxic = 1 then 'toxic' when quality = 1 then 'clean' when quality = 0 then 'poor' end"
+WEIGHTS = {"clean": 0.7, "poor": 0.2, "toxic": 0.1}
+
+
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_report(_documents(spark, sf), _labels(spark, sf), F.expr(DOMAIN), WEIGHTS)
+
+
 def op8_token_store(spark: SparkSession, sf: str) -> DataFrame:
     return token_round_trip(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -72,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_order_minhash": op4_order_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_mixing": op7_mixing,
     "op8_token_store": op8_token_store,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,

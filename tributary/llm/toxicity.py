@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.cache import Memo
+from tributary.llm.folds import labelled_sample
 from tributary.sources.staging import staged
 
 #: Labelled rows fitted on, terms kept, and how unlikely a term's share of toxic texts must be by chance.
@@ -209,10 +210,7 @@ def chance_log10(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from `labels` rows joined with their documents; the caller leaves out what is held out."""
-    marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # bounded, so it can go to every task
-    texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    train = staged(texts.join(F.broadcast(chosen), "__id").select("__id", "text", "y"), "toxicity-sample")
+    train = staged(labelled_sample(docs, labels, -F.col(label).cast("int"), text, doc_id, sample).withColumn("y", -F.col("y")), "toxicity-sample")
     totals = train.agg(F.count("y").alias("n"), F.sum("y").alias("t")).first()
     n, t = totals.n, totals.t or 0
     if not n or not t or t == n:
