@@ -68,9 +68,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     )
 
 
-def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
+#: Ids that may go to every task.
+BROADCAST_ROWS = 2_000_000
+
+
+def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns. What goes is a small part, and is sent to every task while it
+    has few rows; else both sides are sorted and merged."""
+    gone = staged(exact_dedup(docs, text, doc_id, **options).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "copies")
     sha = F.sha2(ascii_lower(F.coalesce(docs[text], F.lit(""))), 256)
-    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]), "left_anti")

@@ -20,6 +20,7 @@ are documents of their own. An empty table gives an empty result. Other columns
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,5 +237,6 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
         features = _features()
         return pd.Series(mixture.rates(np.array([classifier.posteriors(features(t)) for t in texts]).reshape(len(texts), -1)), dtype="f8")
 
-    often = docs.withColumn("__copies", copies(rate(F.col(f"`{text}`")), F.col(f"`{doc_id}`")))
-    return often.withColumn("__copy", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), "__copies")))).drop("__copies", "__copy")
+    n, at = f"copies_{uuid.uuid4().hex}", f"copy_{uuid.uuid4().hex}"  # names that no table has
+    often = docs.withColumn(n, copies(rate(F.col(f"`{text}`")), F.col(f"`{doc_id}`"))).where(F.col(n) > 0)
+    return often.withColumn(at, F.explode(F.sequence(F.lit(1), n))).drop(n, at)

@@ -367,7 +367,11 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest, with all their columns."""
-    kept = ngram_join(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[options.get("doc_id", "doc_id")].eqNullSafe(F.col("__kept")), "left_semi")
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` whose id is their component's smallest, with all their columns. An id of several rows goes only if
+    none of them is its component's smallest."""
+    found = ngram_join(docs, text, doc_id, **options)
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays").select(F.col("doc_id").alias("__gone"))
+    gone = staged(gone, "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")

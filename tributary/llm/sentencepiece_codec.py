@@ -22,6 +22,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,7 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.lengths = [len(p) for p in self.pieces]
         self.words = Memo(self._word, 400_000)
+        self.id_words = Memo(self._packed, 400_000)
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a short text after all merges, best first, leftmost of equals."""
@@ -158,12 +161,22 @@ class Codec:
         spoken = [i for i in ids if i not in self.silent][:1]
         return text[1:] if spoken and spoken[0] not in self.byte_of and self.pieces[spoken[0]].startswith(SPACE) else text
 
+    def _packed(self, word: str) -> bytes:
+        return np.array(self.segment(word if word.startswith(SPACE) else SPACE + word), "<i4").tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        return b"".join(map(self.id_words.__getitem__, self._pieces_of(text))) if text else b""
+
+    def _pieces_of(self, text: str) -> list[str]:
+        simple = "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
+        return text.split(" ") if simple else self._cut(text)
+
     def summary(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids as decimals joined by commas, the text decoded from them)."""
         if not text:
             return 0, "", ""
-        simple = "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
-        counts, ids, plain = zip(*map(self.words.__getitem__, text.split(" ") if simple else self._cut(text)), strict=True)
+        counts, ids, plain = zip(*map(self.words.__getitem__, self._pieces_of(text)), strict=True)
         return sum(counts), ",".join(ids), "".join(plain)[1:]
 
 
@@ -187,18 +200,31 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids, decoded) of each row."""
+    """(doc_id, n_tokens, ids) of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                packed = [c.packed(t.as_py() or "") for t in part.column(1)]
+                n = np.array([len(p) // 4 for p in packed], "i8")
+                ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                yield pa.record_batch([part.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), ids)], names=["doc_id", "n_tokens", "ids"])
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return source.mapInArrow(rows, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return source.mapInArrow(rows, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """`encoded` with the text of its ids as `decoded`; null ids count as none."""
+
+    @F.pandas_udf("string")
+    def decoded(column: pd.Series) -> pd.Series:
+        c = codec(model)
+        return pd.Series([c.decode([] if i is None else list(i)) for i in column], dtype=object)
+
+    return encoded.withColumn("decoded", decoded(F.col(f"`{ids}`")))
 
 
 def encode_digests(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
