@@ -43,7 +43,7 @@ class WordTokens:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]["pretokenizers"]
-        if [n["type"] for n in spec["normalizer"]["normalizers"]] != NORMALIZERS or [p["type"] for p in pre] != ["Split", "ByteLevel"] or pre[0]["pattern"] != {"Regex": SPLIT} or pre[1]["add_prefix_space"] or any(re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
+        if [n["type"] for n in spec["normalizer"]["normalizers"]] != NORMALIZERS or [p["type"] for p in pre] != ["Split", "ByteLevel"] or pre[0]["pattern"] != {"Regex": SPLIT} or pre[1]["add_prefix_space"] or any(re.search(r"\s", t["content"]) or t["content"].isalpha() for t in spec["added_tokens"]):
             raise ValueError("this tokenizer is not known to work within parts between spaces")
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
@@ -62,7 +62,8 @@ class WordTokens:
         return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
 
     def _plain(self, part: str) -> bool:
-        return PLAIN.fullmatch(part) is not None and not self.special.search(part)
+        plain = part.isprintable() if part.isascii() else PLAIN.fullmatch(part) is not None
+        return plain and (part.isalpha() or not self.special.search(part))
 
     def pre_tokens(self, part: str) -> list[str]:
         """The words of a plain part; any other part as it is."""
@@ -70,6 +71,8 @@ class WordTokens:
 
     def _part(self, part: str) -> bytes:
         if self._plain(part):
+            if part.isalpha():
+                return self.words[part.lower()]
             return b"".join(map(self.words.__getitem__, WORDS.findall(part.lower())))
         return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
