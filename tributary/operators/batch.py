@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.functions.predicate import Predicate
+from tributary.sources.staging import fresh_path
 
 #: A side is broadcast only when Catalyst's estimate of it is below this.
 BROADCAST_LIMIT = 64 << 20
@@ -64,8 +65,10 @@ def simple_hash(left: DataFrame, right: DataFrame, pred: Predicate, memory_rows:
 
 
 def write_presorted(frame: DataFrame, table: str, keys: list[str], buckets: int = 8) -> DataFrame:
-    """Saves a table in hash buckets, one sorted file each, for ordered_merge."""
-    frame.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    """Saves a table in hash buckets, one sorted file each, for ordered_merge; its files go to a folder of their own in the
+    shared folder, so what earlier sessions left does not matter."""
+    writer = frame.repartition(buckets, *keys).write.mode("overwrite").option("path", fresh_path(frame.sparkSession, table))
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
     return frame.sparkSession.table(table)
 
 
