@@ -110,7 +110,7 @@ def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         return pd.Series([[p, p + 1] if h else [p, 0] if i == top else [p] for p, h, i in zip(found.tolist(), halo, ids, strict=True)])
 
     dealt = source.select(F.posexplode(parts("doc_id")).alias("halo", "part"), "doc_id", "text")
-    return dealt.select("part", "halo", "doc_id", "text").repartition(n, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    return dealt.select("part", "halo", "doc_id", "text").repartitionById(n, F.col("part")).sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def edited_text(text: str, following: str) -> str:

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.llm.folds import smallest_hashes
 from tributary.llm.word_tokens import word_tokens
 from tributary.sources.staging import fresh_path, staged
 
@@ -129,8 +130,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                     size += len(samples[-1])
         yield pa.record_batch([pa.array([train_dictionary(samples)], pa.binary())], names=["dictionary"])
 
-    # The sample: the documents whose hashed ids are smallest, whatever their order or number of files.
-    sample = source.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).select("text")
+    size = source.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    sample = smallest_hashes(source, ["doc_id", "text"], TRAIN_DOCS, size.n).select("text")
     trained = sample.coalesce(1).mapInArrow(train, "dictionary binary").first()
     dictionary = bytes(trained.dictionary) if trained else b""
     name = hashlib.sha256(dictionary).hexdigest()
@@ -139,8 +140,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     with files.open_output_stream(f"{root}/{name}.dict") as f:
         f.write(dictionary)
 
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(-(-total // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(-(-(size.bytes or 0) // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
