@@ -1,4 +1,4 @@
-"""A bounded memo for functions of strings."""
+"""A bounded memo for functions of strings, and the one place of a worker for what is large."""
 
 from __future__ import annotations
 
@@ -22,3 +22,15 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_held: list = [None, None]
+
+
+def alone(kind: tuple, make: Callable):
+    """What `make` gives, kept in this process until another kind is asked for. Workers outlive stages; so a worker never
+    holds the caches of two operators."""
+    if _held[0] != kind:
+        _held[:] = [None, None]
+        _held[:] = [kind, make()]
+    return _held[1]

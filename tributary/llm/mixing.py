@@ -19,7 +19,6 @@ are documents of their own. An empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo
+from tributary.llm.cache import Memo, alone
 from tributary.llm.folds import labelled_sample
 from tributary.llm.toxicity import PUNCTUATION
 from tributary.sources.staging import staged
@@ -61,17 +60,16 @@ class Features:
     """Feature numbers of texts, with a memo."""
 
     def __init__(self) -> None:
-        self.memo = Memo(_feature, 400_000)
+        self.memo = Memo(_feature, 250_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
         return np.fromiter(map(self.memo.__getitem__, words), "i8", len(words))
 
 
-@functools.cache
 def _features() -> Features:
     """One for each worker process."""
-    return Features()
+    return alone(("features",), Features)
 
 
 @dataclass

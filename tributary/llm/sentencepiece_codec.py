@@ -17,7 +17,6 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo
+from tributary.llm.cache import Memo, alone
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -63,8 +62,8 @@ class Codec:
         self.shorter = [next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1) if p in self.ids else -1 for p in self.pieces]
         self.fits: dict[tuple[int, int], bool] = {}
         self.lengths = [len(p) for p in self.pieces]
-        self.words = Memo(self._word, 400_000)
-        self.id_words = Memo(self._packed, 400_000)
+        self.words = Memo(self._word, 300_000)
+        self.id_words = Memo(self._packed, 300_000)
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a short text after all merges, best first, leftmost of equals."""
@@ -193,10 +192,9 @@ def utf8(run: bytes) -> str:
     return "".join(out)
 
 
-@functools.cache
 def codec(path: str) -> Codec:
     """One for each worker process."""
-    return Codec(path)
+    return alone(("codec", path), lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

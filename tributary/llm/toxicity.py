@@ -52,7 +52,7 @@ class LexiconAutomaton:
     no term can accept are dropped at once.
     """
 
-    MOST_STATES = 200_000
+    MOST_STATES = 20_000
 
     def __init__(self, terms: Iterable[str]):
         self.children: list[dict[str, int]] = [{}]

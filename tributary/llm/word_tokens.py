@@ -7,14 +7,13 @@ a pattern and each word goes to the BPE model alone; any other part goes through
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
 
 import numpy as np
 
-from tributary.llm.cache import Memo
+from tributary.llm.cache import Memo, alone
 
 #: Fixed values of the tokenizer file: its split pattern, normalizers and byte alphabet rule.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -90,7 +89,6 @@ def parts(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-@functools.cache
 def word_tokens(path: str) -> WordTokens:
     """One for each worker process."""
-    return WordTokens(path)
+    return alone(("words", path), lambda: WordTokens(path))
