@@ -47,6 +47,7 @@ def test_in_small_batches_and_blocks(spark, odd, odd_rows, small_batches, monkey
     monkeypatch.setattr(N, "BLOCK_ROWS", 4)
     monkeypatch.setattr(N, "PAIRS", 2)
     monkeypatch.setattr(N, "KEYS", 1)
+    monkeypatch.setattr(N, "BLOCK_NODES", 3)
     assert Counter(map(tuple, N.ngram_join(odd).collect())) == expected(odd_rows)
 
 
@@ -95,4 +96,7 @@ def test_words_are_cut_at_the_six_characters_only():
     import random
 
     text = "É b \x1c c\x0bD " + words(random.Random(1), 3)
-    assert len(N.shingles(text, N.word_hashes())) == len(shingle_set(text))
+    assert len(N.word_hashes(text)) == len(WORD.findall(text))
+    assert len(N.shingles(text)) == len(shingle_set(text))
+    words_ = WORD.findall(text.translate(FOLD)) + ["É", "é"]
+    assert len(set(np.concatenate([N.word_hashes(w) for w in words_]).tolist())) == len(set(words_))

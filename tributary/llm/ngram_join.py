@@ -1,15 +1,16 @@
 """Exact Jaccard join of documents on word shingles, and the components of its links.
 
 1. Each text becomes the set of its shingles' 64-bit hashes. Texts with equal sets are one node from here on.
-2. Nodes that share a minimum hash are compared with the group's smallest node. The links found this way already join
-   most groups of near copies, so that later steps need not look at pairs within them.
+2. Nodes that share a minimum hash form groups, cut into blocks of bounded size. A block keeps a forest: each node is checked
+   exactly against the nodes that its bitmap says are nearest. The links found join most groups of near copies, so that
+   later steps need not look at pairs within them.
 3. Any two sets that reach the threshold share a shingle among the rarest quarter of each (prefix filter; any order that is
    the same for all sets is right, and the order is by class of a frequency sketch over all shingles, of fixed size). Rows
    of prefixes are dealt by shingle and sorted by set size; those without a partner of another component and a fitting
    size fall away in a streaming pass.
-4. What is left forms tiles by shingle and size band. A tile compares its band with itself and with the band below: hashed
-   parity bitmaps, folded to one width, give by XOR and bit counts a lower bound of the difference and so an upper bound of
-   the overlap. Tiles of many rows are cut into blocks, each pair of blocks a tile of its own.
+4. What is left forms tiles by shingle and size band; sets near a band's upper edge also visit the next. Hashed parity bitmaps, folded
+   to one width, give by XOR and bit counts a lower bound of the difference and so an upper bound of the overlap. Tiles of
+   many rows are cut into blocks, each pair of blocks a tile of its own.
 5. Pairs that pass the bound are checked exactly on sorted arrays, dealt by one side and salted by its number of pairs.
 
 No links between different sets of different components are lost. Identity of shingles and sets is by 64-bit hashes.
@@ -25,44 +26,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo
 from tributary.llm.components import components
-from tributary.llm.order_minhash import GOLDEN, SEEDS, mixed
+from tributary.llm.order_minhash import SEEDS, mixed
+from tributary.llm.suffix_dedup import Powers
 from tributary.llm.token_counts import pack, unpack
 from tributary.sources.staging import staged
 
 WORDS, PERCENT = 5, 75
-KEYS, SKETCH_BITS, SLICES = 4, 20, 16
-#: Rows of ids that may go to every task; rows of a tile compared as one block; pairs of one node checked in one task.
+KEYS, SKETCH_BITS, SLICES = 2, 20, 16
+#: Rows of ids that may go to every task; rows of a tile compared as one block; pairs of one node checked in one task; hashes
+#: and nodes in one block of a group, and failed checks of a node there; bits of a bitmap for each shingle; bands in a wide one.
 BROADCAST_ROWS, BLOCK_ROWS, PAIRS = 2_000_000, 8192, 2000
+BLOCK_HASHES, BLOCK_NODES, TRIES, BITS, BANDS = 4 << 20, 4096, 8, 4, 4
 _U = np.uint64
+#: A random number for each byte, and what each byte counts as: A-Z as a-z, and whether it parts words.
+BYTES = np.random.default_rng(1).integers(0, 2**63, 256, dtype="u8") * _U(2) + _U(1)
+BYTES[65:91] = BYTES[97:123]
+PARTS = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 300_000)
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a text, in order, from sums of byte numbers times powers."""
+    data = np.frombuffer(text.encode(), "u1")
+    edges = np.flatnonzero(np.diff(PARTS[data], prepend=True, append=True))
+    begins, ends = edges[::2], edges[1::2]
+    up, down = Powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, "u8")
+    np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype("u8"))
 
 
-def shingles(text: str | None, hashes: Memo, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    found = (text or "").encode().lower().split()  # on bytes: folds A-Z and cuts at the six white-space characters only
-    if not found:
-        return np.zeros(0, "u8")
-    h = np.fromiter(map(hashes.__getitem__, found), "u8", len(found))
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
     size = min(words, len(h))
     out = np.zeros(len(h) - size + 1, "u8")
     for i in range(size):
-        out = mixed(out * GOLDEN + h[i : i + len(out)])
-    return np.unique(out + _U(size))
+        out += h[i : i + len(out)] * SEEDS[100 + i]
+    out = np.sort(mixed(out + _U(size)))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity bits of a set: as many as a power of two that is not below the set's size."""
-    bits = max(64, 1 << (len(hashes) - 1).bit_length())
+def bitmap_size(n: int) -> int:
+    """Bits of a set's bitmap: a power of two, some for each shingle."""
+    return max(64, BITS << (n - 1).bit_length())
+
+
+def bitmap(hashes: np.ndarray, bits: int | None = None) -> bytes:
+    """Parity bits of a set."""
+    bits = bits or bitmap_size(len(hashes))
     ones = np.bincount((hashes & _U(bits - 1)).astype("i8"), minlength=bits) & 1
     return np.packbits(ones.astype("u1"), bitorder="little").tobytes()
 
@@ -83,9 +101,9 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def band(n: np.ndarray, percent: int) -> np.ndarray:
-    """Bands of sizes: sets that can reach the threshold are in one band or in neighbouring ones."""
-    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype("i4")
+def band(n: Column, percent: int) -> Column:
+    """Bands of sizes, each as wide as `BANDS` steps from a set to the largest that can reach the threshold with it."""
+    return F.floor(F.log(n) / (BANDS * float(np.log(100 / percent))) + 1e-9).cast("int")
 
 
 def _scan(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
@@ -93,21 +111,26 @@ def _scan(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["slot", "doc_id", "n", "sid", "keys", "bits", "counts"]
-        hashes, sketch, kind = word_hashes(), np.zeros(1 << SKETCH_BITS, "u4"), pa.int64()
-        types = [pa.int32(), kind, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        sketch, seen = np.zeros(1 << SKETCH_BITS, "u4"), []
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for batch in batches:
             types[1] = batch.schema.field(0).type
             out: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(t.as_py(), hashes, words)
+                s = shingles(t.as_py(), words)
                 if not len(s):
                     out.append((-1, i, 0, None, None, None, None))
                     continue
-                np.add.at(sketch, (s >> _U(64 - SKETCH_BITS)).astype("i4"), 1)
+                seen.append(s >> _U(64 - SKETCH_BITS))
+                if len(seen) == 500:
+                    sketch += np.bincount(np.concatenate(seen).astype("i8"), minlength=len(sketch)).astype("u4")
+                    seen.clear()
                 keys = [int((s * SEEDS[k]).min().view("i8")) for k in range(KEYS)]
                 out.append((-1, i, len(s), set_id(s), keys, bitmap(s), None))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if seen:
+            sketch += np.bincount(np.concatenate(seen).astype("i8"), minlength=len(sketch)).astype("u4")
         if sketch.any():
             parts = sketch.reshape(SLICES, -1)
             task = TaskContext.get().partitionId()
@@ -146,12 +169,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(sid, hashes) of wanted nodes (sid, __key: an id of theirs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sids, sets = [], []
                 for t, want in zip(batch.column(0).slice(at, 500), batch.column(1).slice(at, 500).to_pylist(), strict=True):
-                    s = shingles(t.as_py(), hashes, words)
+                    s = shingles(t.as_py(), words)
                     if len(s) and (sid := set_id(s)) in want:
                         sids.append(sid)
                         sets.append(s.tobytes())
@@ -161,6 +183,76 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return _lookup(docs, by_id, "inner").select("__text", "want").mapInArrow(rows, "sid bigint, hashes binary").dropDuplicates(["sid"])
 
 
+def _near_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): links within groups of nodes that share a minimum hash, as a forest for each block of a group."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["k", "key", "block", "sid", "hashes"], [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for batch in batches:
+            out: list[tuple] = []
+            for t, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                s = shingles(t.as_py(), words)
+                if len(s):
+                    sid, packed = set_id(s), s.tobytes()
+                    out += [(w["k"], w["key"], w["block"], sid, packed) for w in want if w["sid"] == sid]
+                if len(out) >= 500:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def forest(sids: list[int], found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        n = np.array([len(s) for s in found])
+        bits = min(bitmap_size(int(np.median(n))), 1 << 16)
+        maps = np.array([np.frombuffer(bitmap(s, bits), "u8") for s in found])
+        root = np.arange(len(sids))
+        for i in range(1, len(sids)):
+            apart = np.bitwise_count(maps[i] ^ maps[:i]).sum(axis=1, dtype="i8")
+            most = (n[i] + n[:i] - apart) // 2
+            fits = np.flatnonzero(100 * most >= percent * (n[i] + n[:i] - most))
+            fails = 0
+            while len(fits) and fails < TRIES:
+                j = fits[apart[fits].argmin()]
+                both = len(np.intersect1d(found[i], found[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    if sids[i] != sids[j]:
+                        yield sids[i], sids[j]
+                    old = root[j]
+                    root[: i + 1][root[: i + 1] == old] = root[i]
+                    fits = fits[root[fits] != root[i]]
+                else:
+                    fails += 1
+                    fits = fits[fits != j]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sids, found = None, [], []
+
+        def done() -> pa.RecordBatch:
+            links_ = list(forest(sids, found))
+            return pa.record_batch([pa.array([x[k] for x in links_], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for *group, sid, packed in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+                if group != now:
+                    if len(sids) > 1:
+                        yield done()
+                    now, sids, found = group, [], []
+                sids.append(sid)
+                found.append(np.frombuffer(packed.as_py(), "u8"))
+        if len(sids) > 1:
+            yield done()
+
+    keyed = nodes.select("sid", "__key", "n", F.posexplode("keys").alias("k", "key"))
+    groups = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("hashes")).where("c > 1")
+    groups = groups.select("k", "key", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    members = keyed.join(groups.hint("merge"), ["k", "key"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    wanted = staged(members.groupBy("__key").agg(F.collect_list(F.struct("sid", "k", "key", "block")).alias("want")), "groups")
+    dealt = _lookup(docs, wanted, "inner").select("__text", "want").mapInArrow(sets, "k int, key bigint, block int, sid bigint, hashes binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["k", "key", "block"]
+    return dealt.repartition(n, *place).sortWithinPartitions(*place, "sid").mapInArrow(rows, "u bigint, v bigint")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the threshold. Each node's set goes once to each salt of its pairs."""
 
@@ -194,12 +286,12 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int
     held = docs.sparkSession.sparkContext.broadcast(classes)  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order = word_hashes(), held.value
+        order = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 keys, sids, comps, sizes, ns = [], [], [], [], []
                 for t, known in zip(batch.column(0).slice(at, 200), batch.column(1).slice(at, 200).to_pylist(), strict=True):
-                    s = shingles(t.as_py(), hashes, words)
+                    s = shingles(t.as_py(), words)
                     if not len(s):
                         continue
                     sid = set_id(s)
@@ -322,27 +414,25 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: in
     docs = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     scanned = staged(_scan(docs, "__text", "__id", words), "shingle-scan")
     rows = scanned.where("slot = -1").select("doc_id", "n", "sid", "keys", "bits")
-    nodes = staged(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("__key"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
-
-    # near copies: each node against the smallest node with the same minimum hash
-    keyed = nodes.select("sid", "__key", F.posexplode("keys").alias("k", "key"))
-    hubs = keyed.groupBy("k", "key").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    stars = staged(keyed.join(hubs.hint("merge"), ["k", "key"]).where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), "stars")
-    found = staged(verify(stars, staged(_wanted_sets(docs, stars, nodes, words), "star-sets"), percent), "star-links")
-    grouped = staged(components(found), "star-components")
+    nodes = staged(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("__key"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    found = staged(_near_groups(docs, nodes, words, percent).distinct(), "group-links")
+    grouped = staged(components(found), "group-components")
 
     known = staged(rows.where("sid is not null").join(nodes.select("sid", "__key").hint("merge"), "sid").join(grouped.hint("merge"), F.col("sid") == F.col("node"), "left")
                    .select(F.col("doc_id").alias("__row"), "sid", (~F.col("doc_id").eqNullSafe(F.col("__key"))).alias("skip"), F.coalesce("component", "sid").alias("comp")).distinct()
                    .withColumnRenamed("__row", "__key"), "known")
     live = staged(_with_partner(_prefixes(docs, known, _classes(scanned), words, percent), percent), "live")
-    sized = live.distinct().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
-    both = sized.select("key", "sid", "comp", "n", "band", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).select("key", (F.col("band") + F.col("up")).alias("band"), (F.col("up") == 0).alias("home"), "sid", "comp", "n")
+    reach = F.greatest(band(F.col("n"), percent), band(F.col("n") * (100 / percent * (1 + 1e-9)), percent))
+    sized = live.distinct().withColumn("band", band(F.col("n"), percent)).withColumn("reach", reach)
+    both = sized.withColumn("own_band", F.col("band")).withColumn("band", F.explode(F.sequence("band", "reach"))).select("key", "band", (F.col("band") == F.col("own_band")).alias("home"), "sid", "comp", "n")
     counts = both.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("any"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("any and c0 <> c1")
     counts = counts.select("key", "band", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
     cut = both.join(counts.hint("merge"), ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("key", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("home"), F.col("own").alias("side"), "sid", "comp", "n")
-    tiles = tiles.join(nodes.select("sid", "bits").hint("merge"), "sid")
+    tiles = staged(tiles, "tiles")
+    bits = rows.select("sid", "bits").join(tiles.select("sid").distinct().hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
+    tiles = tiles.join(bits.hint("merge"), "sid")
     pairs = staged(_tile_pairs(tiles, percent), "tile-pairs")
     more = staged(verify(pairs, staged(_wanted_sets(docs, pairs, nodes, words), "pair-sets"), percent), "tile-links")
     return rows, staged(components(found.union(more)), "components")

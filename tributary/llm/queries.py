@@ -90,7 +90,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Shingles, links and their closure.
+_NGRAM_JOIN = f"""with recursive t as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) end g from t),
+u as (select doc_id, len(g) n, unnest(g) k from s),
+p as (select a.doc_id a, b.doc_id b, any_value(a.n) x, any_value(b.n) y, count(*) c from u a join u b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p where 100 * c >= 75 * (x + y - c)),
+l as (select a, b from e union all select b, a from e),
+r(d, c) as (select doc_id, doc_id from documents union select l.b, r.c from r join l on r.d = l.a)
+select s.doc_id, cast(len(g) as bigint) n_shingles, m.c component_id from s join (select d, min(c) c from r group by d) m on m.d = s.doc_id"""
+
+#: Windows of 400 bytes as hexadecimal text, those that occur twice, their union, and what is left.
+_SUFFIX_DEDUP = """with t as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) m from (select doc_id, h, unnest(range(0, len(h) // 2 - 399)) i from t)),
+d as (select m from w group by m having count(*) > 1),
+g as (select doc_id, i, max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) p from w semi join d using (m)),
+v as (select doc_id, i, sum(case when p is null or i > p + 400 then 1 else 0 end) over (partition by doc_id order by i) k from g),
+x as (select doc_id, k, min(i) a, max(i) + 400 b from v group by 1, 2),
+y as (select doc_id, list(a order by a) a, list(b order by a) b, sum(b - a) n from x group by 1)
+select t.doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(n, 0) as bigint) n_removed, cast(coalesce(len(a), 0) as bigint) n_spans,
+  sha256(unhex(case when n is null then h else array_to_string([substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1])) for z in list_zip(list_prepend(0, b), list_append(a, len(h) // 2))], '') end)) kept_sha256
+from t left join y using (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": _NGRAM_JOIN,
+    "op9_suffix_dedup": _SUFFIX_DEDUP,
     "op5_exact_dedup": f"""with h as (select doc_id, sha256({_LOWER}) text_sha256 from documents)
 select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept, text_sha256
 from h window g as (partition by text_sha256)""",
