@@ -27,10 +27,15 @@ class Memo(dict):
 _held: list = [None, None]
 
 
+def release() -> None:
+    """Drops what `alone` keeps; operators without large caches call it first."""
+    _held[:] = [None, None]
+
+
 def alone(kind: tuple, make: Callable):
     """What `make` gives, kept in this process until another kind is asked for. Workers outlive stages; so a worker never
     holds the caches of two operators."""
     if _held[0] != kind:
-        _held[:] = [None, None]
+        release()
         _held[:] = [kind, make()]
     return _held[1]

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.cache import release
 from tributary.llm.components import components
 from tributary.llm.order_minhash import SEEDS, mixed
 from tributary.llm.suffix_dedup import Powers
@@ -110,6 +111,7 @@ def _scan(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """Pass 1. A row for each document (slot -1), and rows with parts of the frequency sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         names = ["slot", "doc_id", "n", "sid", "keys", "bits", "counts"]
         sketch, seen = np.zeros(1 << SKETCH_BITS, "u4"), []
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]

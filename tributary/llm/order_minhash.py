@@ -99,7 +99,7 @@ def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = source.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [1.0], 10_000).alias("c"), F.max("doc_id").alias("m")).first()
+    cuts = source.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [1.0], max(10_000, 20 * n)).alias("c"), F.max("doc_id").alias("m")).first()
     edges, top = sorted(set(cuts.c or [])), cuts.m
     edges = [e for e in edges if e != top]  # a part holds the ids above the edge before it, up to its own edge
 

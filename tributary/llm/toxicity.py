@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo
+from tributary.llm.cache import Memo, release
 from tributary.llm.folds import labelled_sample
 from tributary.sources.staging import staged
 
@@ -139,6 +139,7 @@ class Model:
         self._ready()
 
     def _ready(self) -> None:
+        release()
         self.automaton = LexiconAutomaton(self.terms)
         self.words = Memo(self._look, 200_000)
 
