@@ -38,7 +38,7 @@ from tributary.sources.staging import fresh_path, staged
 MAGIC = b"TRIBTOK1"
 HEADER = struct.Struct("<8s32sB")
 FOOTER = struct.Struct("<QQ8s")
-#: Bytes of text for each shard; documents and bytes that the dictionary is trained on, and its size. They change sizes, never ids.
+#: Characters of text for each shard, about; documents and bytes that the dictionary is trained on, and its size. They change sizes, never ids.
 SHARD_BYTES, TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 64 << 20, 1_000, 16 << 20, 64 << 10
 
 
@@ -122,17 +122,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         return np.frombuffer(word_tokens(tokenizer).encode(t) + ending, "<u4")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, samples, size = width(word_tokens(tokenizer).size), [], 0
+        w, samples, size, mean, n = width(word_tokens(tokenizer).size), [], 0, 0.0, 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
+                n += 1
+                mean += (len(t) - mean) / n
                 if size < TRAIN_BYTES:
                     samples.append(encode(t).astype(f"<u{w}").tobytes())
                     size += len(samples[-1])
-        yield pa.record_batch([pa.array([train_dictionary(samples)], pa.binary())], names=["dictionary"])
+        yield pa.record_batch([pa.array([train_dictionary(samples)], pa.binary()), pa.array([mean], pa.float64())], names=["dictionary", "mean"])
 
-    size = source.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    sample = smallest_hashes(source, ["doc_id", "text"], TRAIN_DOCS, size.n).select("text")
-    trained = sample.coalesce(1).mapInArrow(train, "dictionary binary").first()
+    total = docs.count()
+    sample = smallest_hashes(source, ["doc_id", "text"], TRAIN_DOCS, total).select("text")
+    trained = sample.coalesce(1).mapInArrow(train, "dictionary binary, mean double").first()
     dictionary = bytes(trained.dictionary) if trained else b""
     name = hashlib.sha256(dictionary).hexdigest()
     files, root = fs.FileSystem.from_uri(path)
@@ -140,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     with files.open_output_stream(f"{root}/{name}.dict") as f:
         f.write(dictionary)
 
-    shards = max(-(-(size.bytes or 0) // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(int(total * (trained.mean if trained else 0) / shard_bytes) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()

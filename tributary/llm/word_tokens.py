@@ -49,11 +49,12 @@ class WordTokens:
         self.whole.no_truncation()
         self.model = self.whole.model
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.marks = {t["content"][0] for t in spec["added_tokens"]}  # special strings are found before case is folded
         self.table = byte_alphabet()
         self.size = self.whole.get_vocab_size()
         self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
         self.words = Memo(self._word, 300_000)
-        self.parts = Memo(self._part, 500_000)
+        self.parts = Memo(self._part, 650_000)
 
     def _word(self, word: str) -> bytes:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
@@ -77,6 +78,8 @@ class WordTokens:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if text.isascii() and not any(c in text for c in self.marks):
+            text = text.lower()  # as the library does, only before the look-up
         return b"".join(map(self.parts.__getitem__, parts(text)))
 
     def count(self, pre_token: str) -> int:
