@@ -48,6 +48,7 @@ def test_in_small_batches_and_blocks(spark, odd, odd_rows, small_batches, monkey
     monkeypatch.setattr(N, "PAIRS", 2)
     monkeypatch.setattr(N, "KEYS", 1)
     monkeypatch.setattr(N, "BLOCK_NODES", 3)
+    monkeypatch.setattr(N, "HELD", 5)
     assert Counter(map(tuple, N.ngram_join(odd).collect())) == expected(odd_rows)
 
 
@@ -100,3 +101,21 @@ def test_words_are_cut_at_the_six_characters_only():
     assert len(N.shingles(text)) == len(shingle_set(text))
     words_ = WORD.findall(text.translate(FOLD)) + ["É", "é"]
     assert len(set(np.concatenate([N.word_hashes(w) for w in words_]).tolist())) == len(set(words_))
+
+
+def test_rows_with_a_partner():
+    """Nothing that has a partner of another component goes, and lone rows go."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        m = int(rng.integers(1, 30))
+        key, n = rng.integers(0, 5, m), rng.integers(4, 30, m)
+        order = np.lexsort((n, key))
+        key, n = key[order].astype("i8"), n[order].astype("i4")
+        comp, most = rng.integers(0, 4, m), (n + rng.integers(-6, 6, m)).astype("i4")
+        alive = set(N.with_partner(key, comp, n, most).tolist())
+        for i in range(m):
+            fits = [j for j in range(m) if j != i and key[i] == key[j] and n[j] <= most[i] and n[i] <= most[j]]
+            if any(comp[j] != comp[i] for j in fits):
+                assert i in alive
+            if not fits:
+                assert i not in alive

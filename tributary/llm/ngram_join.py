@@ -5,9 +5,10 @@
    exactly against the nodes that its bitmap says are nearest. The links found join most groups of near copies, so that
    later steps need not look at pairs within them.
 3. Any two sets that reach the threshold share a shingle among the rarest quarter of each (prefix filter; any order that is
-   the same for all sets is right, and the order is by class of a frequency sketch over all shingles, of fixed size). Rows
-   of prefixes are dealt by shingle and sorted by set size; those without a partner of another component and a fitting
-   size fall away in a streaming pass.
+   the same for all sets is right, and the order is by class of a frequency sketch over all shingles, of fixed size). The
+   first one that they share must leave room for the overlap: its place in a set bounds the partner's size (positional
+   filter). Rows of prefixes are dealt by shingle and sorted by set size; those without a partner within both bounds, or
+   whose shingle is in one component only, fall away in a streaming pass.
 4. What is left forms tiles by shingle and size band; sets near a band's upper edge also visit the next. Hashed parity bitmaps, folded
    to one width, give by XOR and bit counts a lower bound of the difference and so an upper bound of the overlap. Tiles of
    many rows are cut into blocks, each pair of blocks a tile of its own.
@@ -40,9 +41,10 @@ from tributary.sources.staging import staged
 WORDS, PERCENT = 5, 75
 KEYS, SKETCH_BITS, SLICES = 2, 20, 16
 #: Rows of ids that may go to every task; rows of a tile compared as one block; pairs of one node checked in one task; hashes
-#: and nodes in one block of a group, and failed checks of a node there; bits of a bitmap for each shingle; bands in a wide one.
+#: and nodes in one block of a group, and failed checks of a node there; bits of a bitmap for each shingle; steps in a band; rows
+#: of one shingle that a task holds to look for partners (more all count as having one).
 BROADCAST_ROWS, BLOCK_ROWS, PAIRS = 2_000_000, 8192, 2000
-BLOCK_HASHES, BLOCK_NODES, TRIES, BITS, BANDS = 4 << 20, 4096, 8, 4, 4
+BLOCK_HASHES, BLOCK_NODES, TRIES, BITS, BANDS, HELD = 4 << 20, 4096, 8, 2, 4, 1_000_000
 _U = np.uint64
 #: A random number for each byte, and what each byte counts as: A-Z as a-z, and whether it parts words.
 BYTES = np.random.default_rng(1).integers(0, 2**63, 256, dtype="u8") * _U(2) + _U(1)
@@ -89,8 +91,11 @@ def bitmap(hashes: np.ndarray, bits: int | None = None) -> bytes:
 def folded(maps: list[bytes], size: int) -> np.ndarray:
     """Bitmaps as rows of 64-bit words, wider ones folded by XOR to `size` bytes."""
     out = np.empty((len(maps), size // 8), "u8")
-    for i, m in enumerate(maps):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(m, "u8").reshape(-1, size // 8), axis=0)
+    lengths = np.array([len(m) for m in maps])
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == length)
+        same = np.frombuffer(b"".join([maps[i] for i in at.tolist()]), "u8").reshape(len(at), -1, size // 8)
+        out[at] = np.bitwise_xor.reduce(same, axis=1)
     return out
 
 
@@ -284,14 +289,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(key, sid, comp, n): the rarest shingles of each node, read from the row with the node's first id."""
+    """(key, sid, comp, n, most): the rarest shingles of each node, read from the row with the node's first id; most: the
+    largest partner for which the shingle can be the first shared one."""
     held = docs.sparkSession.sparkContext.broadcast(classes)  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                keys, sids, comps, sizes, ns = [], [], [], [], []
+                keys, most, sids, comps, sizes, ns = [], [], [], [], [], []
                 for t, known in zip(batch.column(0).slice(at, 200), batch.column(1).slice(at, 200).to_pylist(), strict=True):
                     s = shingles(t.as_py(), words)
                     if not len(s):
@@ -301,84 +307,114 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int
                     if state and state["skip"]:
                         continue
                     ranked = (order[(s >> _U(64 - SKETCH_BITS)).astype("i4")].astype("u8") << _U(56)) | (s & _U(2**56 - 1))
-                    p = prefix_size(len(s), percent)
-                    keys.append(np.partition(ranked, p - 1)[:p] if p < len(s) else ranked)
+                    n, p = len(s), prefix_size(len(s), percent)
+                    keys.append(np.sort(np.partition(ranked, p - 1)[:p] if p < n else ranked))
+                    # at place k the overlap is n - k at most, and must reach percent / (100 + percent) of both sizes
+                    most.append(((100 + percent) * (n - np.arange(p)) - percent * n) // percent)
                     sids.append(sid)
                     comps.append(state["comp"] if state else sid)
                     sizes.append(p)
-                    ns.append(len(s))
+                    ns.append(n)
                 each = lambda v, t: np.repeat(np.array(v, t), sizes)
-                yield pa.record_batch([pa.array(np.concatenate(keys).view("i8") if keys else np.zeros(0, "i8")), pa.array(each(sids, "i8")), pa.array(each(comps, "i8")), pa.array(each(ns, "i8"))], names=["key", "sid", "comp", "n"])
+                flat = lambda v, t: np.concatenate(v).astype(t) if v else np.zeros(0, t)
+                yield pa.record_batch([pa.array(flat(keys, "u8").view("i8")), pa.array(each(sids, "i8")), pa.array(each(comps, "i8")), pa.array(each(ns, "i4")), pa.array(flat(most, "i4"))], names=["key", "sid", "comp", "n", "most"])
 
     known = nodes.where("skip or comp <> sid").groupBy("__key").agg(F.collect_list(F.struct("sid", "skip", "comp")).alias("known"))
-    return _lookup(docs, known, "left").select("__text", "known").mapInArrow(rows, "key bigint, sid bigint, comp bigint, n bigint")
+    return _lookup(docs, known, "left").select("__text", "known").mapInArrow(rows, "key bigint, sid bigint, comp bigint, n int, most int")
+
+
+def with_partner(key: np.ndarray, comp: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of rows sorted by (key, n), those with another row of their key such that neither is larger than the other's `most`,
+    in keys of two components. Rows of one component count as partners, too, so some rows may stay in vain."""
+    alive = np.arange(len(key))
+    for _ in range(2):
+        if not len(alive):
+            break
+        k, c, size, room = (x[alive] for x in (key, comp, n, most))
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(k))))
+        several = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))[group]
+        base = group.astype("i8") << 32
+        value = base | room
+        first = np.maximum.accumulate(value)
+        newest = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] > first[:-1]]), np.arange(len(k)), 0))
+        second = np.maximum.accumulate(np.concatenate([[-1], np.minimum(value[1:], first[:-1])]))
+        upto = np.searchsorted(base | size, base | room, side="right") - 1  # the last row of a fitting size
+        best = np.where(newest[upto] == np.arange(len(k)), second[upto], first[upto])
+        best[upto < 0] = -1
+        alive = alive[several & (best >> 32 == group) & ((best & 0xFFFFFFFF) >= size)]
+    return alive
+
+
+def _with_partner(prefixes: DataFrame) -> DataFrame:
+    """Rows that with_partner keeps, key by key."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "sid", "comp", "n", "most"]
+        held: list[list[np.ndarray]] = []
+        flooded = None  # a key of more rows than are held: all go on
 
-def _with_partner(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows next to which, in size order within their key, stands one of another component with a fitting size. Of rows of
-    one key whose sizes fit in a chain, all stay if any two neighbours differ."""
+        def out(columns: list[np.ndarray], at) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c[at]) for c in columns], names=names)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "sid", "comp", "n"]
-        kept = None  # rows of the chain that the last batch ended in, all of one component so far
-        live = False  # whether that chain has two components already
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if kept is not None:
-                columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
-            key, _, comp, n = columns
-            if not len(key):
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            last = held[-1][0][-1]
+            if held[-1][0][0] == last and sum(len(h[0]) for h in held) < HELD:
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (percent * n[1:] > 100 * n[:-1])])
-            chain = np.cumsum(new) - 1
-            differs = np.concatenate([[False], (comp[1:] != comp[:-1]) & ~new[1:]])
-            mixed_ = np.bincount(chain, differs) > 0
-            if live:
-                mixed_[0] = True
-            out = mixed_[chain]
-            last = chain == chain[-1]
-            if mixed_[-1]:  # the open chain is live: its rows go out now, the last row stays to tell whether it goes on
-                ready = out.copy()
-                keep_from = len(key) - 1
-                if live and chain[-1] == 0 and kept is not None:
-                    ready[0] = False  # went out before
-                elif live and kept is not None:
-                    ready[0] = False
-                kept, live = [c[keep_from:] for c in columns], True
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            open_ = columns[0] == last
+            done = [c[~open_] for c in columns]
+            rest = [c[open_] for c in columns]
+            if flooded is not None:
+                ran = done[0] == flooded
+                if ran.any():
+                    yield out(done, ran)
+                    done = [c[~ran] for c in done]
+                if last != flooded:
+                    flooded = None
+            if len(done[0]):
+                yield out(done, with_partner(done[0], done[2], done[3], done[4]))
+            if last == flooded or len(rest[0]) >= HELD:
+                yield out(rest, slice(None))
+                flooded, held = last, []
             else:
-                ready = out & ~last
-                if live:
-                    ready[0] = False
-                kept, live = [c[last] for c in columns], False
-            yield pa.record_batch([pa.array(c[ready]) for c in columns], names=names)
+                held = [rest]
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            ran = columns[0] == flooded if flooded is not None else np.zeros(len(columns[0]), bool)
+            yield out(columns, ran)
+            columns = [c[~ran] for c in columns]
+            yield out(columns, with_partner(columns[0], columns[2], columns[3], columns[4]))
 
     n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prefixes.repartition(n, "key").sortWithinPartitions("key", "n").mapInArrow(rows, "key bigint, sid bigint, comp bigint, n bigint")
+    return prefixes.repartition(n, "key").sortWithinPartitions("key", "n").mapInArrow(rows, "key bigint, sid bigint, comp bigint, n int, most int")
 
 
 def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that the bitmaps' bound lets pass, tile by tile."""
 
     def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        # (home, side, sid, comp, n, bits); pairs are home with home or below, and of two blocks one from each
+        # (home, side, sid, comp, n, most, bits); pairs are home with home or below, and of two blocks one from each
         home = np.array([r[0] for r in rows], bool)
         side = np.array([r[1] for r in rows], "i4")
-        sid, comp, n = (np.array([r[k] for r in rows], "i8") for k in (2, 3, 4))
-        maps = folded([r[5] for r in rows], min(len(r[5]) for r in rows))
+        sid, comp, n, room = (np.array([r[k] for r in rows], "i8") for k in (2, 3, 4, 5))
+        maps = folded([r[6] for r in rows], min(len(r[6]) for r in rows))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         two = bool((side != side[0]).any())
         step = max(1, (8 << 20) // (maps.shape[1] * 8 * len(rows)))
         for at in range(0, len(rows), step):
             i = slice(at, at + step)
-            total = n[i, None] + n[None, :]
             ok = (comp[i, None] != comp[None, :]) & (home[i, None] | home[None, :]) & (np.arange(len(rows))[i, None] < np.arange(len(rows))[None, :])
-            ok &= 100 * np.minimum(n[i, None], n[None, :]) >= percent * np.maximum(n[i, None], n[None, :])
+            ok &= (n[None, :] <= room[i, None]) & (n[i, None] <= room[None, :])
             if two:
                 ok &= side[i, None] != side[None, :]
             x, y = ok.nonzero()
             if len(x):
                 apart = np.bitwise_count(maps[x + at] ^ maps[y]).sum(axis=1, dtype="i8")
-                whole = total[x, y]
+                whole = n[x + at] + n[y]
                 # overlap <= (whole - apart) / 2 must be able to reach percent / 100 of the union
                 most = (whole - apart) // 2
                 good = 100 * most >= percent * (whole - most)
@@ -407,7 +443,7 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tile = ["key", "band", "x", "y"]
-    dealt = tiles.select(*tile, "home", "side", "sid", "comp", "n", "bits").repartition(n, *tile).sortWithinPartitions(*tile)
+    dealt = tiles.select(*tile, "home", "side", "sid", "comp", "n", "most", "bits").repartition(n, *tile).sortWithinPartitions(*tile)
     return dealt.mapInArrow(rows, "a bigint, b bigint").distinct()
 
 
@@ -423,15 +459,15 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: in
     known = staged(rows.where("sid is not null").join(nodes.select("sid", "__key").hint("merge"), "sid").join(grouped.hint("merge"), F.col("sid") == F.col("node"), "left")
                    .select(F.col("doc_id").alias("__row"), "sid", (~F.col("doc_id").eqNullSafe(F.col("__key"))).alias("skip"), F.coalesce("component", "sid").alias("comp")).distinct()
                    .withColumnRenamed("__row", "__key"), "known")
-    live = staged(_with_partner(_prefixes(docs, known, _classes(scanned), words, percent), percent), "live")
+    live = staged(_with_partner(_prefixes(docs, known, _classes(scanned), words, percent)), "live")
     reach = F.greatest(band(F.col("n"), percent), band(F.col("n") * (100 / percent * (1 + 1e-9)), percent))
     sized = live.distinct().withColumn("band", band(F.col("n"), percent)).withColumn("reach", reach)
-    both = sized.withColumn("own_band", F.col("band")).withColumn("band", F.explode(F.sequence("band", "reach"))).select("key", "band", (F.col("band") == F.col("own_band")).alias("home"), "sid", "comp", "n")
+    both = sized.withColumn("own_band", F.col("band")).withColumn("band", F.explode(F.sequence("band", "reach"))).select("key", "band", (F.col("band") == F.col("own_band")).alias("home"), "sid", "comp", "n", "most")
     counts = both.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("any"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("any and c0 <> c1")
     counts = counts.select("key", "band", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
     cut = both.join(counts.hint("merge"), ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("home"), F.col("own").alias("side"), "sid", "comp", "n")
+    tiles = tiles.select("key", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("home"), F.col("own").alias("side"), "sid", "comp", "n", "most")
     tiles = staged(tiles, "tiles")
     bits = rows.select("sid", "bits").join(tiles.select("sid").distinct().hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
     tiles = tiles.join(bits.hint("merge"), "sid")
