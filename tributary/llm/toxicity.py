@@ -16,6 +16,7 @@ without labelled rows every score is 0; texts are read whole; rows that repeat a
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo, release
+from tributary.llm.cache import Memo, alone
 from tributary.llm.folds import labelled_sample
 from tributary.sources.staging import staged
 
-#: Labelled rows fitted on, terms kept, and how unlikely a term's share of toxic texts must be by chance.
-SAMPLE, TERMS, CHANCE = 40_000, 20_000, 1e-6
+#: Labelled rows fitted on, terms kept, how unlikely a term's share of toxic texts must be by chance, and the least part of the
+#: toxic texts that has it (words of one text and its copies are unlikely, too, but few).
+SAMPLE, TERMS, CHANCE, LEAST = 40_000, 20_000, 1e-6, 0.01
 WINDOW = 6
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‚‘’…–—¿¡"
 OPENING, CLOSING = "\"“„«‘'>", "\"”“»’'"
@@ -52,7 +54,7 @@ class LexiconAutomaton:
     no term can accept are dropped at once.
     """
 
-    MOST_STATES = 20_000
+    MOST_STATES = 100_000
 
     def __init__(self, terms: Iterable[str]):
         self.children: list[dict[str, int]] = [{}]
@@ -139,9 +141,8 @@ class Model:
         self._ready()
 
     def _ready(self) -> None:
-        release()
-        self.automaton = LexiconAutomaton(self.terms)
-        self.words = Memo(self._look, 200_000)
+        content = hashlib.sha256(repr((sorted(self.terms.items()), sorted(self.clean_forms))).encode()).digest()
+        self.automaton, self.words = alone(("toxicity", content), lambda: (LexiconAutomaton(self.terms), Memo(self._look, 200_000)))
 
     def __getstate__(self) -> tuple:
         return self.terms, self.clean_forms, self.weights, self.prior
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     frequencies = staged(train.select("text", "y").mapInArrow(words, "w string, t bigint, c bigint").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-words")
     share = t / n
-    often = frequencies.where((F.col("t") >= 3) & (F.col("t") > F.col("c"))).orderBy(F.desc("t"), "w").limit(5 * TERMS).toPandas()
+    often = frequencies.where((F.col("t") >= max(3, LEAST * t)) & (F.col("t") > F.col("c"))).orderBy(F.desc("t"), "w").limit(5 * TERMS).toPandas()
     unlikely = chance_log10(often.t.to_numpy("f8"), often.c.to_numpy("f8"), share) <= math.log10(CHANCE) if len(often) else np.zeros(0, bool)
     kept = often[unlikely].head(TERMS)
     weight = np.log((kept.t + 0.5) / (t + 1)) - np.log((kept.c + 0.5) / (n - t + 1))
