@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo, alone
+from tributary.llm.cache import Memo, alone, small_batches
 from tributary.llm.folds import labelled_sample
 from tributary.llm.toxicity import PUNCTUATION
 from tributary.sources.staging import staged
@@ -92,6 +92,7 @@ class Classifier:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Classifier:
     """Learns the domains that `domain` gives for rows of `labels`; the smallest name counts where an id has several."""
+    small_batches(docs.sparkSession)
     train = staged(labelled_sample(docs, labels, domain, text, doc_id, sample), "mixing-sample")
     names = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(names)

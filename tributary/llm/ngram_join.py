@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import release
+from tributary.llm.cache import release, small_batches
 from tributary.llm.components import components
 from tributary.llm.order_minhash import SEEDS, mixed
 from tributary.llm.suffix_dedup import Powers
@@ -449,6 +449,7 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents with n and sid, components of nodes as (node, component))."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     scanned = staged(_scan(docs, "__text", "__id", words), "shingle-scan")
     rows = scanned.where("slot = -1").select("doc_id", "n", "sid", "keys", "bits")

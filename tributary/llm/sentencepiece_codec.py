@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo, alone
+from tributary.llm.cache import Memo, alone, small_batches
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -199,6 +199,7 @@ def codec(path: str) -> Codec:
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids) of each row."""
+    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)

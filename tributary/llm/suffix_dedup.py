@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.cache import small_batches
 from tributary.llm.order_minhash import mixed
 from tributary.llm.suffix_sort import deep_shallow_sort
 from tributary.sources.staging import staged
@@ -279,6 +280,7 @@ def _hot_windows(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept: the bytes that remain."""
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("__text"), F.xxhash64(body, F.octet_length(body)).alias("tid"))
     texts = staged(docs.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")), "texts")

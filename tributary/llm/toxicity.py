@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo, alone
+from tributary.llm.cache import Memo, alone, small_batches
 from tributary.llm.folds import labelled_sample
 from tributary.sources.staging import staged
 
@@ -212,6 +212,7 @@ def chance_log10(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from `labels` rows joined with their documents; the caller leaves out what is held out."""
+    small_batches(docs.sparkSession)
     train = staged(labelled_sample(docs, labels, -F.col(label).cast("int"), text, doc_id, sample).withColumn("y", -F.col("y")), "toxicity-sample")
     totals = train.agg(F.count("y").alias("n"), F.sum("y").alias("t")).first()
     n, t = totals.n, totals.t or 0
