@@ -60,7 +60,7 @@ class Features:
     """Feature numbers of texts, with a memo."""
 
     def __init__(self) -> None:
-        self.memo = Memo(_feature, 250_000)
+        self.memo = Memo(_feature, 180_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()

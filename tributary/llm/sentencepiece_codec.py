@@ -63,7 +63,7 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.lengths = [len(p) for p in self.pieces]
         self.words = Memo(self._word, 300_000)
-        self.id_words = Memo(self._packed, 300_000)
+        self.id_words = Memo(self._packed, 180_000)
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a short text after all merges, best first, leftmost of equals."""

@@ -142,7 +142,7 @@ class Model:
 
     def _ready(self) -> None:
         content = hashlib.sha256(repr((sorted(self.terms.items()), sorted(self.clean_forms))).encode()).digest()
-        self.automaton, self.words = alone(("toxicity", content), lambda: (LexiconAutomaton(self.terms), Memo(self._look, 200_000)))
+        self.automaton, self.words = alone(("toxicity", content), lambda: (LexiconAutomaton(self.terms), Memo(self._look, 120_000)))
 
     def __getstate__(self) -> tuple:
         return self.terms, self.clean_forms, self.weights, self.prior
