@@ -78,6 +78,29 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_a_rare_term_is_learned_but_not_the_words_of_copies(spark):
+    """400 toxic texts of 2,000: twenty hold one term and its misspelling is found, and twenty are near copies of one text."""
+    rng = random.Random(6)
+    texts = [words(rng, 40) for _ in range(2000)]
+    for i in range(400):
+        texts[i] += " blackguard" if i < 20 else " villain"
+    copy = "here stands " + words(rng, 60, 10**9)
+    for i in range(380, 400):
+        texts[i] = f"{copy} {words(rng, 2)} villain"
+    frame = docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    model = fit(frame, labels(spark, [(i, 1, int(i < 400)) for i in range(2000)]))
+    assert {"blackguard", "villain"} == set(model.terms)
+    assert model.score("what a blakguard") > 0.5 > model.score(copy)
+
+
+def test_a_rare_term_of_many_toxic_texts(spark):
+    """The support that a term needs does not rise with the number of toxic texts: 15 of 1,800 are under a hundredth."""
+    rng = random.Random(7)
+    texts = [words(rng, 20) + (" blackguard" if i < 15 else " villain" if i < 1800 else "") for i in range(6000)]
+    frame = docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    assert set(fit(frame, labels(spark, [(i, 1, int(i < 1800)) for i in range(6000)])).terms) == {"blackguard", "villain"}
+
+
 def test_toxicity_of_odd_rows(odd, odd_rows, none, spark):
     held = fold(F.col("doc_id"), 5) == 0
     marks = labels(spark, [(i, 1, i % 2) for i in range(30)] + [(3, None, None), (None, 1, 1)])

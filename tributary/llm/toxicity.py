@@ -1,6 +1,7 @@
 """Toxicity: a learned lexicon matched through edits, and windows of context around each match.
 
-The lexicon holds the terms that occur in toxic training texts far more often than chance allows. Its trie is
+The lexicon holds the terms that occur in toxic training texts far more often than chance allows, where near copies (about half of
+the five-word shingles in common, by sketches) count as one text. Its trie is
 intersected with the Levenshtein automata of its terms (no edit for short terms, one or two for longer ones); the product
 is made deterministic state by state as texts need it, so a word costs one table look-up for each letter and most words
 die after a few. Forms near a term that clean training texts use are not taken for misspellings.
@@ -27,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.cache import Memo, alone, small_batches
+from tributary.llm.cache import Memo, alone, release, small_batches
 from tributary.llm.folds import labelled_sample
+from tributary.llm.ngram_join import set_id, shingles
+from tributary.llm.order_minhash import SEEDS
 from tributary.sources.staging import staged
 
-#: Labelled rows fitted on, terms kept, how unlikely a term's share of toxic texts must be by chance, and the least part of the
-#: toxic texts that has it (words of one text and its copies are unlikely, too, but few).
-SAMPLE, TERMS, CHANCE, LEAST = 40_000, 20_000, 1e-6, 0.01
+#: Labelled rows fitted on, terms kept (those least likely by chance), how unlikely a term's share of toxic texts must be by chance,
+#: and the least number of toxic texts that have it. Texts and their near copies count as one in both.
+SAMPLE, TERMS, CHANCE, LEAST = 40_000, 20_000, 1e-6, 3
+#: Minimum hashes of a text's shingles, those in a band, and how many of them near copies share.
+SKETCH, BAND, ALIKE = 16, 2, 8
 WINDOW = 6
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‚‘’…–—¿¡"
 OPENING, CLOSING = "\"“„«‘'>", "\"”“»’'"
@@ -202,38 +207,78 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
-def chance_log10(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+def chance_log10(toxic: Column, clean: Column, share: float) -> Column:
     """An upper bound of the log10 of the chance that a term of these many texts has so many toxic ones (Chernoff)."""
     n = toxic + clean
-    q = np.clip(toxic / n, 1e-12, 1 - 1e-12)
-    divergence = q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))
-    return np.where(q > share, -n * divergence, 0) / math.log(10)
+    q = F.least(F.greatest(toxic / n, F.lit(1e-12)), F.lit(1 - 1e-12))
+    divergence = q * F.log(q / share) + (1 - q) * F.log((1 - q) / (1 - share))
+    return F.when(q > share, -n * divergence / math.log(10)).otherwise(0.0)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The minimum hashes of a set of shingles."""
+    return (hashes[:, None] * SEEDS[:SKETCH]).min(axis=0) if len(hashes) else np.zeros(SKETCH, "u8")
+
+
+def near_copies(sketches: np.ndarray) -> np.ndarray:
+    """A group's number for each row: rows that share a band with the first that has it, and `ALIKE` minimum hashes, are of one group."""
+    group = list(range(len(sketches)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for at in range(0, SKETCH, BAND):
+        _, first, band = np.unique(sketches[:, at : at + BAND], axis=0, return_index=True, return_inverse=True)
+        leader = first[band.ravel()]
+        for i in np.flatnonzero((leader != np.arange(len(leader))) & ((sketches == sketches[leader]).sum(axis=1) >= ALIKE)).tolist():
+            group[root(i)] = root(int(leader[i]))
+    return np.array([root(i) for i in range(len(group))], "i8")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from `labels` rows joined with their documents; the caller leaves out what is held out."""
     small_batches(docs.sparkSession)
-    train = staged(labelled_sample(docs, labels, -F.col(label).cast("int"), text, doc_id, sample).withColumn("y", -F.col("y")), "toxicity-sample")
-    totals = train.agg(F.count("y").alias("n"), F.sum("y").alias("t")).first()
-    n, t = totals.n, totals.t or 0
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(0)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["text", "y", "sid", "sketch"])
+
+    sample_rows = labelled_sample(docs, labels, -F.col(label).cast("int"), text, doc_id, sample).select("text", (-F.col("y")).alias("y"))
+    train = staged(sample_rows.mapInArrow(sketched, "text string, y int, sid bigint, sketch binary"), "toxicity-sample")
+    texts = train.groupBy("sid", "y").agg(F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch")).toPandas()  # at most a row for each sampled text
+    n, t = int(texts.n.sum()), int(texts.n[texts.y == 1].sum())
     if not n or not t or t == n:
         return Model({}, frozenset(), np.zeros(0), float(t / n) if n else 0.0)
+    texts["g"] = near_copies(np.frombuffer(b"".join(texts.sketch), "u8").reshape(-1, SKETCH))
+    toxic, clean = (texts.g[texts.y == y].nunique() for y in (1, 0))
+    share = toxic / (toxic + clean)
+    several = texts[texts.g.map(texts.groupby("g").n.sum()) > 1]
+    group = dict(zip(several.sid.tolist(), several.g.tolist(), strict=True))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for txt, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            counts: dict[tuple[str, int | None], list[int]] = {}
+            for txt, y, sid in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                g = group.get(sid)
                 for w in {w.strip(PUNCTUATION) for w in set(txt.as_py().lower().split())}:
                     if w and len(w) <= 40:
-                        counts.setdefault(w, [0, 0])[y] += 1
-            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["w", "t", "c"])
-
-    frequencies = staged(train.select("text", "y").mapInArrow(words, "w string, t bigint, c bigint").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-words")
-    share = t / n
-    often = frequencies.where((F.col("t") >= max(3, LEAST * t)) & (F.col("t") > F.col("c"))).orderBy(F.desc("t"), "w").limit(5 * TERMS).toPandas()
-    unlikely = chance_log10(often.t.to_numpy("f8"), often.c.to_numpy("f8"), share) <= math.log10(CHANCE) if len(often) else np.zeros(0, bool)
-    kept = often[unlikely].head(TERMS)
-    weight = np.log((kept.t + 0.5) / (t + 1)) - np.log((kept.c + 0.5) / (n - t + 1))
+                        counts.setdefault((w, g), [0, 0])[y] += 1
+            columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())]
+            yield pa.record_batch(columns, names=["w", "g", "t", "c"])
+
+    def once(name: str) -> Column:
+        """The number of texts, or one for all of a group."""
+        return F.when(F.col("g").isNull(), F.sum(name)).otherwise(F.least(F.sum(name), F.lit(1))).alias(name)
+
+    counted = train.select("text", "y", "sid").mapInArrow(words, "w string, g bigint, t bigint, c bigint").groupBy("w", "g").agg(once("t"), once("c"))
+    frequencies = staged(counted.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-words")
+    chance = chance_log10(F.col("t"), F.col("c"), share)
+    kept = frequencies.where((F.col("t") >= LEAST) & (F.col("t") > F.col("c")) & (chance <= math.log10(CHANCE))).orderBy(chance, "w").limit(TERMS).toPandas()
+    weight = np.log((kept.t + 0.5) / (toxic + 1)) - np.log((kept.c + 0.5) / (clean + 1))
     terms = dict(zip(kept.w, (weight.clip(0.1, 8) / 4).tolist(), strict=True))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
