@@ -17,12 +17,13 @@ from tributary.llm.exact_dedup import drop_copies
 from tributary.llm.mixing import mix
 from tributary.llm.ngram_join import one_of_each_group
 from tributary.llm.queries import DOMAIN
+from tributary.llm.queries import WEIGHTS as ALL_WEIGHTS
 from tributary.llm.sentencepiece_codec import encode_documents
 from tributary.llm.toxicity import fit, scorer
 from tributary.sources.staging import staged
 
-#: The share of tokens that each domain is to have.
-WEIGHTS = {"clean": 0.9, "poor": 0.1}
+#: What each domain is to have of the tokens, relative to the others: as in `op7_mixing`, without the toxic texts, which are gone.
+WEIGHTS = {k: v for k, v in ALL_WEIGHTS.items() if k != "toxic"}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

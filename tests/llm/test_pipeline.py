@@ -3,9 +3,13 @@ import re
 import subprocess
 import sys
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tributary.llm import queries
 from tributary.llm.exact_dedup import exact_dedup
+from tributary.llm.mixing import fit_classifier, memberships
 from tributary.llm.ngram_join import ngram_join
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +34,23 @@ def test_stages_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).count() == kept[-1]
 
 
+def test_mixing_moves_the_shares_of_tokens(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    kept = frame.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").select(frame.columns).cache()
+    mixed = corpus_pipeline.mixing(spark, kept, "/root/testdata/sf0.01")
+    classifier = fit_classifier(kept, marks, F.expr(queries.DOMAIN))
+
+    def shares(some):
+        rows = memberships(some, classifier).toPandas()
+        sums = (np.stack(rows.posterior) * rows.n_tokens.to_numpy()[:, None]).sum(axis=0)
+        return dict(zip(classifier.domains, sums / sums.sum(), strict=True))
+
+    natural, reached = shares(kept), shares(mixed)
+    assert classifier.domains == ["clean", "poor"]
+    assert natural["clean"] > 7 / 9 + 0.08 and abs(reached["clean"] - 7 / 9) < 0.02
+
+
 def test_queries_are_registered_and_unlimited():
     found = [n for n in queries.QUERIES if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
