@@ -101,6 +101,17 @@ def test_a_rare_term_of_many_toxic_texts(spark):
     assert set(fit(frame, labels(spark, [(i, 1, int(i < 1800)) for i in range(6000)])).terms) == {"blackguard", "villain"}
 
 
+def test_a_term_that_clean_texts_quote_as_often(spark):
+    """220 toxic texts of 2,000: 60 of them and 60 clean ones have the term, which is eight times likelier in a toxic one."""
+    rng = random.Random(8)
+    texts = [words(rng, 20) for _ in range(2000)]
+    texts = [t + (" you blackguard" if i < 60 else " you villain" if i < 220 else ' they wrote "blackguard"' if i < 280 else "") for i, t in enumerate(texts)]
+    frame = docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    model = fit(frame, labels(spark, [(i, 1, int(i < 220)) for i in range(2000)]))
+    assert {"blackguard", "villain"} <= set(model.terms)
+    assert model.score("w1 w2 you blackguard") > 0.5 > model.score('w1 w2 they wrote "blackguard"')
+
+
 def test_toxicity_of_odd_rows(odd, odd_rows, none, spark):
     held = fold(F.col("doc_id"), 5) == 0
     marks = labels(spark, [(i, 1, i % 2) for i in range(30)] + [(3, None, None), (None, 1, 1)])

@@ -35,8 +35,9 @@ from tributary.llm.order_minhash import SEEDS
 from tributary.sources.staging import staged
 
 #: Labelled rows fitted on, terms kept (those least likely by chance), how unlikely a term's share of toxic texts must be by chance,
-#: and the least number of toxic texts that have it. Texts and their near copies count as one in both.
-SAMPLE, TERMS, CHANCE, LEAST = 40_000, 20_000, 1e-6, 3
+#: the least number of toxic texts that have it, and how many times likelier it is in a toxic text than in a clean one. Texts and their
+#: near copies count as one in all three.
+SAMPLE, TERMS, CHANCE, LEAST, LIKELIER = 40_000, 20_000, 1e-6, 3, 2
 #: Minimum hashes of a text's shingles, those in a band, and how many of them near copies share.
 SKETCH, BAND, ALIKE = 16, 2, 8
 WINDOW = 6
@@ -277,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counted = train.select("text", "y", "sid").mapInArrow(words, "w string, g bigint, t bigint, c bigint").groupBy("w", "g").agg(once("t"), once("c"))
     frequencies = staged(counted.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-words")
     chance = chance_log10(F.col("t"), F.col("c"), share)
-    kept = frequencies.where((F.col("t") >= LEAST) & (F.col("t") > F.col("c")) & (chance <= math.log10(CHANCE))).orderBy(chance, "w").limit(TERMS).toPandas()
+    likelier = (F.col("t") + 0.5) * (clean + 1) >= LIKELIER * (F.col("c") + 0.5) * (toxic + 1)  # whatever the base rate
+    kept = frequencies.where((F.col("t") >= LEAST) & likelier & (chance <= math.log10(CHANCE))).orderBy(chance, "w").limit(TERMS).toPandas()
     weight = np.log((kept.t + 0.5) / (toxic + 1)) - np.log((kept.c + 0.5) / (clean + 1))
     terms = dict(zip(kept.w, (weight.clip(0.1, 8) / 4).tolist(), strict=True))
 
