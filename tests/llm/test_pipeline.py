@@ -34,6 +34,13 @@ def test_stages_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).count() == kept[-1]
 
 
+def test_the_last_stage_decodes(spark):
+    frame = spark.createDataFrame([(1, "One two  three, ñ 中文"), (2, ""), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.encoding(spark, frame, SF).collect()}
+    assert {i: r.decoded for i, r in got.items()} == {1: "One two  three, ñ 中文", 2: "", 3: ""}
+    assert all(len(r.ids) == r.n_tokens for r in got.values())
+
+
 def test_mixing_moves_the_shares_of_tokens(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

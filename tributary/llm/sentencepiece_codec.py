@@ -221,7 +221,7 @@ def decode_documents(encoded: DataFrame, model: str, ids: str = "ids") -> DataFr
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
         c = codec(model)
-        return pd.Series([c.decode([] if i is None else list(i)) for i in column], dtype=object)
+        return pd.Series([c.decode([] if i is None else np.asarray(i).tolist()) for i in column], dtype=object)
 
     return encoded.withColumn("decoded", decoded(F.col(f"`{ids}`")))
 
