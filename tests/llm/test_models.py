@@ -216,6 +216,22 @@ def test_targets_are_met(spark):
     assert p.argmax(axis=1).tolist() == [int(i % 4 == 0) for i in got.doc_id]
 
 
+@pytest.mark.parametrize(("low", "high", "share"), [(0.4, 0.6, 0.55), (0.8, 0.95, 0.92)])
+def test_targets_within_reach_of_overlapping_domains(spark, low, high, share):
+    p = np.random.default_rng(5).uniform(low, high, 2000)
+    members = spark.createDataFrame([(100, [x, 1 - x]) for x in p.tolist()], "n_tokens bigint, posterior array<double>").coalesce(2).cache()
+    mixture = M.fit_mixture(members, M.Classifier(["a", "b"], np.full(2, 0.5), np.zeros((1, 2)), np.zeros((1, 2))), {"a": share, "b": 1 - share})
+    assert np.allclose(mixture.totals, mixture.targets, rtol=2e-4)
+    r = mixture.rates(np.stack([p, 1 - p], axis=1))
+    assert np.allclose([100 * r @ p, 100 * r @ (1 - p)], mixture.targets, rtol=2e-4) and (r >= 0).all()
+
+
+def test_a_fit_that_runs_out_of_rounds_warns(spark):
+    members = spark.createDataFrame([(100, [0.9, 0.1]), (100, [0.2, 0.8])], "n_tokens bigint, posterior array<double>").coalesce(1)
+    with pytest.warns(UserWarning, match="after 0 rounds"):
+        M.fit_mixture(members, M.Classifier(["a", "b"], np.full(2, 0.5), np.zeros((1, 2)), np.zeros((1, 2))), {"a": 0.3, "b": 0.7}, rounds=0)
+
+
 def test_rounds_against_a_plain_solver(spark):
     """Where the bound binds, the result is the constrained optimum: no single rate can be moved for the better."""
     frame, marks = mixed_corpus(spark)

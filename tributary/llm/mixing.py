@@ -4,10 +4,13 @@ A classifier fitted on the labelled table gives each document posteriors p over
 between white space) gets a rate r, the expected number of its copies in the mixture. Rates minimize the squared relative
 difference between the expected totals of the domains, A r with A[k, d] = n[d] p[d, k], and the targets, by projected gradient:
 
-    r[d] <- max(least, r[d] - p[d] . h)   with h = step * W (A r - T), W = diag(1 / M[k, k]), M = A p
+    r[d] <- max(least, s[d] - p[d] . h)   with h = step * W (A s - T), W = diag(1 / M[k, k]), M = A p
 
-in the geometry that weighs documents by their tokens, in which the step is the inverse of the largest eigenvalue of W M. A round is one job that
-sums as many numbers as there are domains; rates are replayed from the h of all rounds, so nothing but these is kept.
+in the geometry that weighs documents by their tokens, in which the step is the inverse of the largest eigenvalue of W M, from s, the
+rates r carried on a little in the direction of the round before (accelerated; not where that is uphill). First come rounds with the
+inverse of M as W, which meet targets within reach in few rounds however much the domains overlap; where those do not
+come nearer, the rounds above follow, from the start. A round is one job that sums one number more than there are domains; rates are replayed from
+the h and momenta of all rounds, so nothing but these is kept. A fit that runs out of rounds warns of what is left.
 
 The classifier is a naive Bayes over hashed words and word shapes, with counts from at most `SAMPLE` labelled rows, those with the
 smallest hashed ids; its evidence counts as that of `EVIDENCE` words at most, so memberships stay soft. All else covers all rows.
@@ -20,6 +23,7 @@ are documents of their own. An empty table gives an empty result. Other columns
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +41,8 @@ from tributary.sources.staging import staged
 
 SAMPLE, EVIDENCE = 40_000, 64
 WORD_BITS, SHAPE_BITS = 14, 12
-ROUNDS, TOLERANCE = 60, 1e-4
+#: Rounds at most, of them those in which the gap has to halve while targets seem within reach, and how far off a total may be.
+ROUNDS, TRIED, TOLERANCE = 400, 5, 1e-4
 
 
 def shape(word: str) -> str:
@@ -139,11 +144,17 @@ class Mixture:
 
 
 def replayed(p: np.ndarray, steps: np.ndarray, least: float) -> np.ndarray:
-    """Rates of documents with posteriors p (a row each) after these steps."""
-    r = np.ones(len(p))
-    for h in steps:
-        r = np.maximum(least, r - p @ h)
-    return r
+    """Rates of documents with posteriors p (a row each) after these steps: h, and last the momentum with which its round began."""
+    return _last_move(p, steps, least)[0]
+
+
+def _last_move(p: np.ndarray, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and how far the last round moved them from where it began."""
+    before = start = r = np.ones(len(p))
+    for *h, momentum in steps:
+        start = r + momentum * (r - before)
+        before, r = r, np.maximum(least, start - p @ np.array(h))
+    return r, r - start
 
 
 def memberships(docs: DataFrame, classifier: Classifier, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -180,7 +191,8 @@ def fit_mixture(members: DataFrame, classifier: Classifier, weights: dict[str, f
     """Fits rates to targets, which are `weights` (made to sum to one) of `total` tokens.
 
     By default the total is that of all documents. ``total=math.inf`` takes the least total at which no weighted domain has
-    to shrink. Stops when no domain with a target is off by more than `tolerance` of it or nothing moves any more.
+    to shrink. Stops when no domain with a target is off by more than `tolerance` of it or a round moves rates by no
+    more than that on average, weighted by tokens; warns if neither comes within `rounds`.
     """
     k = len(classifier.domains)
     m = _sums(members, k * k, lambda n, p: (p * n[:, None]).T @ p).reshape(k, k)
@@ -194,15 +206,33 @@ def fit_mixture(members: DataFrame, classifier: Classifier, weights: dict[str, f
     targets = w * total
     scale = 1 / np.maximum(np.diag(m), 1e-12)
     largest = np.linalg.eigvals(scale[:, None] * m).real.max() if natural.sum() else 1.0
-    steps, reached = np.zeros((0, k)), natural
-    for _ in range(rounds if natural.sum() else 0):
-        off = reached - targets
-        if (np.abs(off) <= tolerance * np.maximum(targets, tolerance * total)).all():
-            break
-        steps = np.vstack([steps, scale * off / largest])
-        before, reached = reached, _sums(members, k, lambda n, p, s=steps: (p * (n * replayed(p, s, least))[:, None]).sum(axis=0))
-        if np.abs(reached - before).max() <= 1e-3 * tolerance * total:
-            break
+    inverse, plain = np.linalg.pinv(m, rcond=1e-12, hermitian=True), np.diag(scale / largest)
+    metric, age, gaps = inverse, 1.0, [np.inf]
+    steps, reached, earlier = np.zeros((0, k + 1)), natural, natural
+    met = lambda: (np.abs(reached - targets) <= tolerance * np.maximum(targets, tolerance * total)).all()
+    at_rest = not natural.sum()
+    while not at_rest and not met() and len(steps) < rounds:
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        momentum = (older - 1) / age
+        off = reached + momentum * (reached - earlier) - targets
+        steps = np.vstack([steps, [*(metric @ off), momentum]])
+
+        def summed(n: np.ndarray, p: np.ndarray, steps: np.ndarray = steps) -> np.ndarray:
+            r, moved = _last_move(p, steps, least)
+            return np.append((p * (n * r)[:, None]).sum(axis=0), (n * np.abs(moved)).sum())
+
+        *now, moved = _sums(members, k + 1, summed)
+        earlier, reached = reached, np.array(now)
+        if off @ metric @ (reached - earlier) > 0:
+            age = 1.0
+        gaps.append(np.abs(reached - targets).max())
+        slow = len(gaps) > TRIED and min(gaps[-TRIED:]) > min(gaps[:-TRIED]) / 2
+        if metric is plain:
+            at_rest = moved <= tolerance * natural.sum()
+        elif slow and not met():
+            metric, age, steps, reached, earlier = plain, 1.0, np.zeros((0, k + 1)), natural, natural
+    if not at_rest and not met():
+        warnings.warn(f"mixing: after {rounds} rounds the totals of {classifier.domains} are off by {(reached - targets).tolist()} tokens", stacklevel=2)
     return Mixture(classifier, steps, least, reached, targets)
 
 
