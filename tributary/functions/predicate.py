@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Accessor = Callable[[str], Column]
 Key = str | Callable[[Accessor], Column]
@@ -30,7 +31,25 @@ def _key(key: Key, alias: str) -> Column:
     return _accessor(alias)(key) if re.fullmatch(r"\w+", key) else F.expr(key)
 
 
-def _project(frame: DataFrame, projection: Projection) -> DataFrame:
+def _comparable(a: Column, b: Column, kinds: tuple[T.DataType, T.DataType]) -> tuple[Column, Column]:
+    """The keys as they are compared: a string meets a number as a number (of nine decimals against exact ones), and matches
+    nothing if it is none. All other types meet as Spark compares them."""
+    text = [isinstance(k, T.StringType) for k in kinds]
+    number = [isinstance(k, T.NumericType) for k in kinds]
+    if not ((text[0] and number[1]) or (number[0] and text[1])):
+        return a, b
+    to = "double" if any(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds) else "decimal(38,9)"
+    return (a.try_cast(to), b) if text[0] else (a, b.try_cast(to))
+
+
+def _hashable(key: Column, kinds: tuple[T.DataType, T.DataType]) -> Column:
+    """A key in a type that both sides can have, so that equal keys hash alike."""
+    if any(isinstance(k, T.NumericType) for k in kinds):
+        return key.try_cast("double") + F.lit(0.0)  # 0.0 for -0.0, too
+    return key if kinds[0] == kinds[1] else key.cast("string")
+
+
+def project(frame: DataFrame, projection: Projection) -> DataFrame:
     return projection(frame) if callable(projection) else frame.select(*projection)
 
 
@@ -59,6 +78,7 @@ class Predicate:
     output: tuple[Projection, ...] = ()
     swapped: bool = False
     suffixes: tuple[str, str] | None = None
+    hashes: tuple[Key, Key] | None = None
 
     @staticmethod
     def equi(left: Key | Sequence[Key], right: Key | Sequence[Key] | None = None, *, null_safe: bool = False, nan_never_matches: bool = False) -> Predicate:
@@ -74,6 +94,15 @@ class Predicate:
         """Any condition on the two rows."""
         return Predicate(condition=condition)
 
+    @staticmethod
+    def ordered(left: Key | Sequence[Key], right: Key | Sequence[Key], condition: Condition) -> Predicate:
+        """An order that is coarser than the match: rows of equal sort keys are compared by `condition`."""
+        return Predicate.equi(left, right).where(condition)
+
+    def hashed_by(self, left: Key, right: Key) -> Predicate:
+        """Whole numbers that deal rows to partitions, in place of the default hash; equal keys must have equal numbers."""
+        return replace(self, hashes=(left, right))
+
     def where(self, condition: Condition) -> Predicate:
         """This predicate and one more condition."""
         old = self.condition
@@ -105,10 +134,23 @@ class Predicate:
     def key_pairs(self) -> tuple[tuple[Column, Column], ...]:
         return tuple((_key(a, "l"), _key(b, "r")) for a, b in zip(self.left_keys, self.right_keys, strict=True))
 
+    def partitions(self, left: DataFrame, right: DataFrame, n: int) -> tuple[Column, Column]:
+        """Of rows of either side, named as they are after the mappings, the partition from 0 to n - 1."""
+        if self.hashes:
+            numbers = tuple(_key(k, a) for k, a in zip(self.hashes, "lr", strict=True))
+        else:
+            kinds = self._kinds(left.alias("l"), right.alias("r"))
+            numbers = tuple(F.xxhash64(*(_hashable(pair[side], k) for pair, k in zip(self.key_pairs(), kinds, strict=True))) for side in (0, 1))
+        return tuple(F.coalesce(F.pmod(c, F.lit(n)), F.lit(0)).cast("int") for c in numbers)
+
+    def _kinds(self, left: DataFrame, right: DataFrame) -> list[tuple[T.DataType, T.DataType]]:
+        """The types of the keys, of sides under their aliases."""
+        return [(left.select(a).schema[0].dataType, right.select(b).schema[0].dataType) for a, b in self.key_pairs()]
+
     def bind(self, first: DataFrame, second: DataFrame, *, hide_equality: bool = False, anti: bool = False) -> Bound:
         """`hide_equality` writes a = b as a <= b and a >= b, for plans that must stay nested loops."""
         left, right = (second, first) if self.swapped else (first, second)
-        left, right = reduce(_project, self.left_maps, left), reduce(_project, self.right_maps, right)
+        left, right = reduce(project, self.left_maps, left), reduce(project, self.right_maps, right)
         if anti and self.output:
             raise ValueError("an anti join returns bare left rows; it takes no output mapping")
         clash = set(left.columns) & set(right.columns)
@@ -118,22 +160,23 @@ class Predicate:
         def finish(joined: DataFrame) -> DataFrame:
             ends = self.suffixes or ("", "")
             out = joined.select(*(F.col(f"{a}.`{n}`").alias(n + (end if n in clash else "")) for a, side, end in (("l", left, ends[0]), ("r", right, ends[1])) for n in side.columns))
-            return reduce(_project, self.output, out)
+            return reduce(project, self.output, out)
 
-        pairs = self.key_pairs()
+        left, right = left.alias("l"), right.alias("r")
+        kinds = self._kinds(left, right)
+        pairs = tuple(_comparable(a, b, k) for (a, b), k in zip(self.key_pairs(), kinds, strict=True))
         terms: list[Column] = []
-        for a, b in pairs:
+        for (a, b), kind in zip(pairs, kinds, strict=True):
             if hide_equality:
                 ordered = (a <= b) & (a >= b)
                 terms.append((ordered | (a.isNull() & b.isNull())) if self.null_safe else ordered)
             else:
                 terms.append(a.eqNullSafe(b) if self.null_safe else a == b)
             if self.nan_never_matches:
-                terms.append(~F.isnan(F.coalesce(a.cast("double"), F.lit(0.0))))
+                terms += [~F.coalesce(F.isnan(c), F.lit(False)) for c, k in zip((a, b), kind, strict=True) if isinstance(k, (T.FloatType, T.DoubleType))]
         if self.condition is not None:
             terms.append(self.condition(_accessor("l"), _accessor("r")))
         if not terms:
             terms.append(F.lit(True))
-        left, right = left.alias("l"), right.alias("r")
         first, second = (right, left) if self.swapped else (left, right)
         return Bound(first, second, reduce(lambda x, y: x & y, terms), pairs, finish)
