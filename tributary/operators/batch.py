@@ -1,16 +1,22 @@
-"""Batch inner joins. All strategies return the same rows; they differ in the physical join that Spark runs."""
+"""Batch strategies of the inner join. All return the same rows; they differ in the physical join that Spark runs."""
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions.predicate import Predicate
 from tributary.sources.staging import fresh_path
 
-#: A side is broadcast only when Catalyst's estimate of it is below this.
+#: A side is broadcast only when both Catalyst's estimate of it and its measured size are below this.
 BROADCAST_LIMIT = 64 << 20
+#: How much larger rows may be in memory than Catalyst's estimate, which takes compressed files at their size on disk.
+INFLATION = 8
 #: A hash table per partition above this would not fit an executor's task memory; the join then sorts, which spills.
 HASH_BUILD_LIMIT = 256 << 20
 
@@ -20,6 +26,21 @@ def estimated_bytes(frame: DataFrame) -> int:
     return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def measured_bytes(frame: DataFrame) -> int:
+    """The size of all rows in memory, from one aggregation over them: what fixed types take, and the bytes of strings and
+    nested values."""
+    fixed, sums = 16, []
+    for field in frame.schema.fields:
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            sums.append(F.sum(F.octet_length(column).cast("bigint")))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            sums.append(F.sum(F.octet_length(F.to_json(F.struct(column))).cast("bigint")))
+        fixed += 16
+    row = frame.agg(F.count(F.lit(1)).alias("n"), *(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
+    return row.n * fixed + sum(x or 0 for x in row[1:])
+
+
 def _needs_keys(pred: Predicate, name: str) -> None:
     if not pred.has_keys:
         raise ValueError(f"{name} needs equality keys; use a nested-loop strategy for other conditions")
@@ -32,12 +53,13 @@ def nested_loop(left: DataFrame, right: DataFrame, pred: Predicate) -> DataFrame
 
 
 def block_nested_loop(left: DataFrame, right: DataFrame, pred: Predicate, block_rows: int | None = None, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Any predicate against a right side that is held whole, while its estimated size is under `broadcast_limit`;
+    """Any predicate against a right side that is held whole, while its size is under `broadcast_limit`: Catalyst's estimate
+    first, then, where that is small, as measured over its rows;
     above that, as nested_loop. `block_rows` is accepted as a hint and does not change the result."""
     if block_rows is not None and block_rows <= 0:
         raise ValueError("block_rows must be positive")
     b = pred.bind(left, right, hide_equality=True)
-    if estimated_bytes(b.second) > broadcast_limit:
+    if estimated_bytes(b.second) > broadcast_limit or measured_bytes(b.second) > broadcast_limit:
         return nested_loop(left, right, pred)
     return b.finish(b.first.join(b.second.hint("broadcast"), b.condition))
 
@@ -59,7 +81,7 @@ def simple_hash(left: DataFrame, right: DataFrame, pred: Predicate, memory_rows:
         raise ValueError("memory_rows must be positive")
     b = pred.bind(left, right)
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if estimated_bytes(b.first) / parts > build_limit:
+    if INFLATION * estimated_bytes(b.first) / parts > build_limit:
         return sort_merge(left, right, pred)
     return b.finish(b.first.hint("shuffle_hash").join(b.second, b.condition))
 
@@ -72,9 +94,16 @@ def write_presorted(frame: DataFrame, table: str, keys: list[str], buckets: int
     return frame.sparkSession.table(table)
 
 
-def trust_bucket_order(spark: SparkSession) -> None:
-    """Lets scans of one-file buckets count as sorted, so that ordered_merge neither shuffles nor sorts."""
-    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+@contextmanager
+def bucket_order_trusted(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, scans of one-file buckets count as sorted, so that an ordered merge run inside neither shuffles nor sorts."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def ordered_merge(left: DataFrame, right: DataFrame, pred: Predicate) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.names import free_names
+
 
 def _total() -> Column:
     return F.col("l") + F.col("r")
@@ -32,23 +34,25 @@ def flush_largest(stats: DataFrame) -> DataFrame:
 
 def _prefer(frame: DataFrame, flag: Column) -> DataFrame:
     """Rows with the flag, or all rows if none has it."""
-    best = frame.agg(F.max(flag.cast("int")).alias("__any"))
-    return frame.crossJoin(F.broadcast(best)).where((F.col("__any") == 0) | flag).drop("__any")
+    any_ = free_names(frame.columns, "any")[0]
+    best = frame.agg(F.max(flag.cast("int")).alias(any_))
+    return frame.crossJoin(F.broadcast(best)).where((F.col(any_) == 0) | flag).drop(any_)
 
 
 def flush_adaptive(stats: DataFrame, a: int, b: float) -> DataFrame:
     """Keeps the two sides balanced.
 
-    While |L - R| / N < b: prefers partitions with at least `a` rows on each side, then those whose removal leaves the
+    While |L / N - R / N| < b: prefers partitions with at least `a` rows on each side, then those whose removal leaves the
     ratio (over the old N) below b. Otherwise takes those heavy on the heavier side, and of them prefers at least `a` rows.
-    Of what is left the largest, the last of equals. Ratios are 32-bit floats.
+    Of what is left the largest, the last of equals. Each side's ratio is rounded to a 32-bit float before they are subtracted.
     """
     totals = stats.agg(F.sum("l").alias("tl"), F.sum("r").alias("tr"))
-    ratio = lambda d: d.cast("float") / (F.col("tl") + F.col("tr")).cast("float") < F.lit(b).cast("float")
+    share = lambda x: (x.cast("float") / (F.col("tl") + F.col("tr")).cast("float")).cast("float")  # noqa: E731  # Spark divides as doubles
+    even = lambda x, y: F.abs((share(x) - share(y)).cast("float")) < F.lit(b).cast("float")
     flagged = stats.crossJoin(F.broadcast(totals)).select(
         "part", "l", "r",
-        ratio(F.abs(F.col("tl") - F.col("tr"))).alias("balanced"),
-        ratio(F.abs((F.col("tl") - F.col("l")) - (F.col("tr") - F.col("r")))).alias("keeps"),
+        even(F.col("tl"), F.col("tr")).alias("balanced"),
+        even(F.col("tl") - F.col("l"), F.col("tr") - F.col("r")).alias("keeps"),
         ((F.col("l") >= a) & (F.col("r") >= a)).alias("enough"),
         F.when(F.col("tl") >= F.col("tr"), F.col("l") >= F.col("r")).otherwise(F.col("r") >= F.col("l")).alias("heavy"),
     )
@@ -57,4 +61,5 @@ def flush_adaptive(stats: DataFrame, a: int, b: float) -> DataFrame:
     return flush_largest(left.select("part", "l", "r"))
 
 
+#: A policy maps a frame of (part, l, r), one row for each partition that holds rows, to one row of it; callers may pass their own.
 POLICIES = {"smallest": flush_smallest, "largest": flush_largest, "adaptive": flush_adaptive}

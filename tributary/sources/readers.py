@@ -56,9 +56,16 @@ def split_json(text: str) -> Iterator[str]:
         at = end
 
 
-def from_concat_json(spark: SparkSession, path: str, schema: T.StructType, required: bool = True) -> DataFrame:
-    """JSON values one after another, on one line or over several. A file is one task's work, so keep files small;
-    JSON lines is the way for large inputs."""
+#: A file of concatenated JSON is read whole by one task, so it has to fit there several times.
+CONCAT_LIMIT = 256 << 20
+
+
+def from_concat_json(spark: SparkSession, path: str, schema: T.StructType, required: bool = True, max_file_bytes: int = CONCAT_LIMIT) -> DataFrame:
+    """JSON values one after another, on one line or over several. Values can end anywhere, so a file is one task's work; a file of
+    over `max_file_bytes` raises before any is read. JSON lines is the way for large files."""
+    large = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") > max_file_bytes).orderBy(F.col("length").desc()).first()
+    if large:
+        raise ValueError(f"{large.path} has {large.length} bytes; concatenated JSON is read whole, and the limit is {max_file_bytes}")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
