@@ -1,4 +1,4 @@
-"""Times the headline joins at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
 
 from __future__ import annotations
 

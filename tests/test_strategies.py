@@ -4,10 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tributary import Predicate, join
+from tributary.functions.names import free_names
+from tributary.operators.batch import bucket_order_trusted, measured_bytes, write_presorted
 from tributary.operators.ranking import row_numbers
 from tributary.plans import flush
 from tributary.plans.queries import LAYOUT
@@ -64,6 +67,35 @@ def test_nan(spark):
     assert join(left, right, Predicate.equi("a", "b", nan_never_matches=True)).count() == 1
 
 
+def test_nan_rule_leaves_other_types_alone(spark):
+    left, right = spark.createDataFrame([("x",), ("NaN",)], "a string"), spark.createDataFrame([("x",), ("NaN",)], "b string")
+    assert join(left, right, Predicate.equi("a", "b", nan_never_matches=True)).count() == 2
+
+
+@pytest.mark.parametrize("strategy", BATCH)
+def test_keys_of_two_types(spark, strategy):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    right = spark.createDataFrame([("1",), ("2.5",), ("01",), ("two",), (None,)], "b string")
+    assert sorted(map(tuple, join(left, right, KEY, strategy).collect())) == [(1, "01"), (1, "1")]
+    assert sorted(map(tuple, join(right, left, Predicate.equi("b", "a"), strategy).collect())) == [("01", 1), ("1", 1)]
+    wide = spark.createDataFrame([(1,), (2**40,)], "b bigint")
+    assert [tuple(r) for r in join(left, wide, KEY, strategy).collect()] == [(1, 1)]
+
+
+def test_equal_keys_of_two_types_are_dealt_alike(spark):
+    left, right = spark.createDataFrame([(1,), (0,)], "a int"), spark.createDataFrame([(1.0,), (-0.0,)], "b double")
+    lp, rp = KEY.partitions(left, right, 1000)
+    assert [r[0] for r in left.alias("l").select(lp).collect()] == [r[0] for r in right.alias("r").select(rp).collect()]
+
+
+def test_order_coarser_than_the_match(spark):
+    rng = random.Random(4)
+    left, right = [rng.randrange(40) for _ in range(60)], [rng.randrange(40) for _ in range(60)]
+    pred = Predicate.ordered(lambda c: F.floor(c("a") / 10), lambda c: F.floor(c("b") / 10), lambda l, r: l("a") <= r("b"))
+    expected = Counter((x, y) for x in left for y in right if x // 10 == y // 10 and x <= y)
+    assert Counter(map(tuple, join(*frames(spark, left, right), pred).collect())) == expected
+
+
 def test_swap_keeps_rows(spark):
     left, right = frames(spark, [2], [1, 2])
     assert join(right, left, KEY.swap(), "sort_merge").collect() == [(2, 2)]
@@ -86,7 +118,7 @@ def test_bag_anti_against_a_model(spark):
     rng = random.Random(3)
     left = [(rng.choice([None, 0, 1, 2]), i) for i in range(40)]
     right = [rng.choice([None, 0, 1, 3]) for _ in range(9)]
-    for block in (None, 7):
+    for block, hot in ((None, 10**6), (None, 5), (7, 10**6), (7, 3)):
         expected = []
         for at in range(0, 40, block or 40):
             held = {}
@@ -97,10 +129,31 @@ def test_bag_anti_against_a_model(spark):
                     held[k][0] = held[k][-1]
                     held[k].pop()
             expected += [i for v in held.values() for i in v]
-        got = join(spark.createDataFrame(left, "a int, i int"), spark.createDataFrame([(k,) for k in right], "b int"), KEY, "anti", mode="bag", order_by=["i"], block_rows=block)
+        got = join(spark.createDataFrame(left, "a int, i int"), spark.createDataFrame([(k,) for k in right], "b int"), KEY, "anti", mode="bag", order_by=["i"], block_rows=block, hot_rows=hot)
         assert sorted(r.i for r in got.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("hot", [10**6, 0])
+def test_bag_anti_keeps_the_callers_columns(spark, hot):
+    names = ["block", "rows", "number", "__block", "__rn", "AT"]
+    left = spark.createDataFrame([(1, *range(10 * i, 10 * i + 6)) for i in (1, 2)], "a int, " + ", ".join(f"`{n}` int" for n in names))
+    right = spark.createDataFrame([(1,)], "b int")
+    for order, block in (("block", None), ("__rn", None), ("AT", 1), ("number", 7)):
+        got = join(left, right, KEY, "anti", mode="bag", order_by=[order], block_rows=block, hot_rows=hot)
+        assert got.columns == left.columns
+        assert [tuple(r) for r in got.collect()] == ([] if block == 1 else [(1, 20, 21, 22, 23, 24, 25)])
+
+
+def test_free_names():
+    assert free_names(["A", "b_"], "a", "a", "b", "c") == ["a_", "a__", "b", "c"]
+
+
+def test_row_numbers_keep_names_and_types(spark):
+    frame = spark.createDataFrame([(3, 1), (1, 2), (2, None)], "at int, part int")
+    rows = row_numbers(frame, [], [F.col("at")], "n")
+    assert rows.columns == ["at", "part", "n"] and sorted(map(tuple, rows.collect())) == [(1, 2, 1), (2, None, 2), (3, 1, 3)]
+
+
 def test_row_numbers_over_a_hot_key(spark):
     frame = spark.range(1000).select((F.col("id") % 10 == 0).alias("k"), F.col("id").alias("v"))
     rows = row_numbers(frame, [F.col("k")], [F.col("v")], "n").collect()
@@ -124,6 +177,53 @@ def test_a_large_side_is_not_broadcast(spark):
     assert "CartesianProduct" in plan and "Broadcast" not in plan
 
 
+def test_sizes_count_what_strings_hold(spark):
+    small, large = spark.createDataFrame([("x",)], "b string"), spark.createDataFrame([("x" * 100_000,)], "b string")
+    assert measured_bytes(small) < 100 and measured_bytes(large) > 100_000
+    left = spark.createDataFrame([("x",)], "a string")
+    plan = join(left, large, KEY, "block_nested_loop", broadcast_limit=50_000)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+def test_presorted_tables_merge_without_exchange_or_sort(spark):
+    before = spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sides = [write_presorted(f, f"sorted_{c}", [c]) for f, c in zip(known(spark), "ab", strict=True)]
+        with bucket_order_trusted(spark):
+            plan = join(*sides, KEY, "ordered_merge")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == before
+
+
+def adaptive_model(sizes, a, b):
+    """The rule, in 32-bit floats."""
+    tl, tr = sum(l for _, l, _ in sizes), sum(r for _, _, r in sizes)
+    even = lambda x, y: abs(np.float32(x) / np.float32(tl + tr) - np.float32(y) / np.float32(tl + tr)) < np.float32(b)
+    prefer = lambda some, flag: [s for s in some if flag(s)] or some
+    enough = lambda s: s[1] >= a and s[2] >= a
+    if even(tl, tr):
+        some = prefer(prefer(sizes, enough), lambda s: even(tl - s[1], tr - s[2]))
+    else:
+        some = prefer([s for s in sizes if (s[1] >= s[2] if tl >= tr else s[2] >= s[1])], enough)
+    return max(some, key=lambda s: (s[1] + s[2], s[0]))[0]
+
+
+def test_the_adaptive_policy_at_its_bound(spark):
+    rng = random.Random(5)
+    cases = [([(0, 1, 1), (1, 2, 4), (2, 6, 1)], 2, 0.2)]
+    while len(cases) < 12:  # layouts at which doubles would decide otherwise
+        sizes = [(i, rng.randrange(8), rng.randrange(8)) for i in range(4)]
+        n = sum(l + r for _, l, r in sizes)
+        b = rng.choice([0.1, 0.2, 0.25, 0.3])
+        if n and any(abs(abs(sum(l - r for j, l, r in sizes if j != i)) / n - b) < 1e-6 for i in (0, 1, 2, 3, 9)):
+            cases.append((sizes, 2, b))
+    for sizes, a, b in cases:
+        assert flush.flush_adaptive(spark.createDataFrame(sizes, "part int, l bigint, r bigint"), a, b).first().part == adaptive_model(sizes, a, b), (sizes, b)
+
+
 def test_policies_on_the_published_layout(spark):
     stats = spark.createDataFrame(LAYOUT, "part int, l bigint, r bigint")
     assert flush.flush_smallest(stats).first().part == 3

@@ -1,4 +1,4 @@
-"""Tributary: relational joins under arbitrary predicates, in batch and over streams, on Spark."""
+"""Tributary: relations combined under arbitrary predicates, in batch and over streams, on Spark."""
 
 from tributary.functions.predicate import Predicate
 from tributary.plans.api import STRATEGIES, join, join_in_memory

@@ -11,7 +11,7 @@ from tributary.functions.predicate import Predicate
 from tributary.operators import anti as anti_ops
 from tributary.operators import batch
 from tributary.sources.readers import from_rows
-from tributary.streaming import joins as streaming
+from tributary.streaming import phased, progressive
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "nested_loop": batch.nested_loop,
@@ -20,15 +20,16 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "sort_merge": batch.sort_merge,
     "simple_hash": batch.simple_hash,
     "anti": anti_ops.anti,
-    "symmetric_hash": streaming.symmetric_hash,
-    "progressive_merge": streaming.progressive_merge,
-    "xjoin": streaming.xjoin,
-    "hash_merge": streaming.hash_merge,
+    "symmetric_hash": progressive.symmetric_hash,
+    "progressive_merge": phased.progressive_merge,
+    "xjoin": phased.xjoin,
+    "hash_merge": phased.hash_merge,
 }
 
 
 def join(left: DataFrame, right: DataFrame, pred: Predicate, strategy: str = "sort_merge", **config) -> DataFrame:
-    """Joins two frames; the progressive strategies also take two streams."""
+    """Two frames under a predicate. `symmetric_hash` also combines two streams to a stream; `progressive_merge`, `xjoin` and `hash_merge`
+    run over what two streams have, or two frames, and return what they wrote."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     return STRATEGIES[strategy](left, right, pred, **config)

@@ -15,6 +15,15 @@ def progress_curve(progress: list[dict]) -> list[tuple[int, int, int]]:
     return curve
 
 
+def phase_curve(progress: list[dict]) -> list[tuple[int, int]]:
+    """(rows read so far, rows written so far) after each phase step of tributary.streaming.phased."""
+    curve, written = [], 0
+    for p in progress:
+        written += p["rows_written"]
+        curve.append((p["rows_read"], written))
+    return curve
+
+
 def expected_reads_random(x: float, rows: float = 1e6) -> float:
     """Rows that must be read for the x-th result when two shuffled sides of `rows` equal keys arrive at one rate."""
     return 2 * math.sqrt(x * rows)
