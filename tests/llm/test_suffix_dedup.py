@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from edge import docs
+from pyspark.sql import functions as F
 
 from tributary.llm import suffix_dedup as S
 from tributary.llm.suffix_sort import deep_shallow_sort
@@ -26,11 +27,13 @@ def expected(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, S.HOT), (400, 3), (80, S.HOT), (80, 2)])
-def test_against_brute_force(odd, odd_rows, length, hot, small_batches):
+@pytest.mark.parametrize(("length", "limit", "step"), [(400, S.LIMIT, S.STEP), (400, 3, 48), (80, S.LIMIT, 7), (80, 2, 16), (80, 1, 1)])
+def test_against_brute_force(odd, odd_rows, length, limit, step, small_batches, monkeypatch):
+    monkeypatch.setattr(S, "LIMIT", limit)
+    monkeypatch.setattr(S, "SALTS", 3)
     rows = [r for r in odd_rows if len(r[1] or "") < 50_000]
     frame = docs(odd.sparkSession, rows)
-    assert Counter(map(tuple, S.suffix_digests(frame, length=length, k=16 if length < 100 else S.K, hot=hot).collect())) == expected(rows, length)
+    assert Counter(map(tuple, S.suffix_digests(frame, length=length, k=16 if length < 100 else S.K, limit=limit, step=step).collect())) == expected(rows, length)
 
 
 def test_without_broadcasts_and_in_chunks(odd, odd_rows, monkeypatch):
@@ -40,6 +43,26 @@ def test_without_broadcasts_and_in_chunks(odd, odd_rows, monkeypatch):
     assert Counter(map(tuple, S.suffix_digests(docs(odd.sparkSession, rows), length=100, k=20).collect())) == expected(rows, 100)
 
 
+def test_a_passage_that_most_texts_share(spark, monkeypatch):
+    """A hot anchor whose contexts differ: parts by cores fit a task or are one string."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, rows = word(130), []
+    for i in range(60):
+        tail = passage[100:] + word(3) if i % 7 else word(40)
+        rows.append((i, word(rng.randrange(90)) + passage[: rng.randrange(90, 131)] + tail + word(rng.randrange(60)), None, None, None))
+    monkeypatch.setattr(S, "LIMIT", 8)
+    for limit in (8, 25):
+        assert Counter(map(tuple, S.suffix_digests(docs(spark, rows), length=80, k=16, limit=limit, step=12).collect())) == expected(rows, 80)
+
+
+def test_no_anchor_goes_to_one_task(spark):
+    """The exchange of places leaves out what is met often."""
+    found = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("fp"), F.col("id").alias("tid"), F.lit(0).cast("bigint").alias("pos"))
+    rows = S._shared(found, crowds=10).collect()
+    assert len(rows) == 6668 and {r.fp for r in rows} == {7} and {r.n for r in rows} == {6668}
+
+
 def test_a_very_long_text(odd):
     assert S.suffix_digests(odd).count() == odd.count()
 

@@ -1,18 +1,20 @@
 """Exact removal of repeated passages: every byte covered by a string of `LENGTH` bytes that starts anywhere else, too.
 
 1. Each text gives its anchors: of every window of LENGTH bytes, the K-gram with the smallest hash. Equal windows have the
-   same anchor at the same place, so a repeat always shows as an anchor that occurs twice. Anchors are dealt by
-   fingerprint and sorted; single ones fall away in a streaming pass.
+   same anchor at the same place, so a repeat always shows as an anchor that occurs twice. Anchors are counted by fingerprint, summed
+   before they are dealt; those that occur in one place fall away.
 2. Texts cut out the context of each anchor that is left: what windows around it can hold. Contexts are dealt by
    fingerprint. In a group, the strings to the right of the anchor and those to the left, read backwards, are put in suffix
    order by deep-shallow sorting. Neighbours' common prefixes give, for each offset of the anchor in a window, which members'
    left and right parts agree; members alike in both are repeats, and give covered intervals.
-3. A group of more than `HOT` members is not gathered: its windows are counted by 128-bit hashes, summed before they are
-   dealt, and those that occur twice cover their bytes.
+3. A group that may have more than `LIMIT` members does not go to one task. Equal contexts become one member. Groups still larger
+   are parted by what windows share: all windows in which the anchor stands `STEP` offsets or less apart have a common core, so members that
+   share one of them share the core's hash. Parts that fit are sorted as in 2. In a part that doesn't, windows are
+   parted by their own hashes; then all strings of a part are equal, and are repeats if there are two.
 4. Each text merges its intervals and is cut.
 
-Texts that are equal as a whole are read once; they are repeats of each other throughout. Identity of whole texts and of
-windows of hot groups is by 64-bit and 128-bit hashes; all else compares bytes.
+Texts that are equal as a whole are read once; they are repeats of each other throughout. Whole texts, and places of an anchor, are told apart
+by 64-bit hashes, equal contexts, cores and windows of large groups by 128-bit hashes; all else compares bytes.
 
 Cases: null text counts as empty; texts under LENGTH bytes lose nothing; positions are bytes of UTF-8 and may cut a
 character; overlaps, also with itself, count; rows that repeat are copies of each other. An empty table gives an empty
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 from tributary.llm.cache import small_batches
 from tributary.llm.order_minhash import mixed
 from tributary.llm.suffix_sort import deep_shallow_sort
-from tributary.sources.staging import staged
+from tributary.sources.staging import discard, staged
 
-LENGTH, K, HOT = 400, 64, 100_000
-#: Windows hashed at a time, and rows of positions or intervals that may go to every task.
-CHUNK, BROADCAST_ROWS = 1 << 19, 3_000_000
+LENGTH, K = 400, 64
+#: Members sorted in one task, offsets that share a core, and parts over which a hot key is spread.
+LIMIT, STEP, SALTS = 4096, 48, 64
+#: Windows hashed at a time, rows of positions or intervals that may go to every task, and hot anchors that may.
+CHUNK, BROADCAST_ROWS, CROWDS = 1 << 19, 3_000_000, 1_000_000
 _U = np.uint64
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -162,30 +167,18 @@ def _find(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.where(F.octet_length("__text") >= length).select("tid", "__text").mapInArrow(rows, "fp bigint, tid bigint, pos bigint")
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """Anchors whose fingerprint occurs at another place, each place once."""
+def _shared(found: DataFrame, crowds: int = CROWDS) -> DataFrame:
+    """(fp, tid, pos, n): anchors whose fingerprint occurs at another place, each place once, and how often it was met.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, out_already = None, False  # the last row so far, and whether it went out
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if last is not None:
-                columns = [np.concatenate(x) for x in zip(last, columns, strict=True)]
-            table = np.column_stack(columns)
-            if not len(table):
-                continue
-            table = table[np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])]
-            same = table[1:, 0] == table[:-1, 0]
-            ready = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if out_already:
-                ready[0] = False
-            if len(table) > 1:
-                out_already = bool(same[-1])
-            last = [table[-1:, c] for c in range(3)]
-            yield pa.record_batch([pa.array(table[ready, c]) for c in range(3)], names=["fp", "tid", "pos"])
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "fp").sortWithinPartitions("fp", "tid", "pos").mapInArrow(rows, "fp bigint, tid bigint, pos bigint")
+    Of fingerprints met more often than a `crowds`-th of all anchors there are fewer than `crowds`; these go to every task. So the others'
+    exchange has no hot key."""
+    place = F.xxhash64("tid", "pos")
+    counts = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp", "n")
+    counts = staged(counts, "anchor-counts")
+    many = max(LIMIT, found.count() // crowds)
+    hot = F.broadcast(counts.where(F.col("n") > many))
+    rest = found.join(hot, "fp", "left_anti").join(counts.where(F.col("n") <= many).hint("merge"), "fp")
+    return found.join(hot, "fp").unionByName(rest).distinct()
 
 
 def _joined(docs: DataFrame, table: DataFrame, rows: int, how: str = "inner") -> DataFrame:
@@ -193,6 +186,9 @@ def _joined(docs: DataFrame, table: DataFrame, rows: int, how: str = "inner") ->
     return docs.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge"), "tid", how)
 
 
+CONTEXTS = "fp bigint, tid bigint, left int, context binary, places array<bigint>"
+
+
 def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(fp, tid, left, context, places): each distinct context of an anchor in a text once, with all its places there."""
 
@@ -217,7 +213,35 @@ def _contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select("tid", "__text", "places", "fps").mapInArrow(rows, "fp bigint, tid bigint, left int, context binary, places array<bigint>")
+    return docs.select("tid", "__text", "places", "fps").mapInArrow(rows, CONTEXTS)
+
+
+def _grouped(rows: DataFrame, keys: list[str], columns: list[str], of, schema: str) -> DataFrame:
+    """What `of` gives for each group's rows of `columns`, as rows of `schema`. Groups are small; a partition streams through."""
+    names, types = [f.split()[0] for f in schema.split(", ")], [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+
+        def block() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[: len(keys)] != now:
+                    out += of(held)
+                    now, held = row[: len(keys)], []
+                    if len(out) > 10_000:
+                        yield block()
+                held.append(row[len(keys) :])
+        out += of(held)
+        if out:
+            yield block()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
@@ -238,58 +262,107 @@ def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
                     for begin, end in spans.tolist():
                         yield tid, begin, end
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-
-        def block() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["tid", "begin", "end"])
-            out.clear()
-            return made
-
+    return _grouped(contexts, ["fp"], ["tid", "left", "context", "places"], group, "tid bigint, begin bigint, end bigint")
+
+
+def _spread(rows: DataFrame, key: str, n: str, salt: str) -> DataFrame:
+    """(key, salt, total): sums of `n` for each key, once for each of its salts, so that a join by both has no hot key."""
+    salted = rows.groupBy(key, salt).agg(F.sum(n).alias("n"))
+    return salted.select(key, salt).join(salted.groupBy(key).agg(F.sum("n").alias("total")).hint("merge"), key)
+
+
+def _crowded(contexts: DataFrame, length: int, k: int, limit: int, step: int) -> DataFrame:
+    """As _covered, for contexts of anchors that are met often."""
+    salt = F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int")
+
+    @F.pandas_udf("binary")
+    def identity(fp: pd.Series, left: pd.Series, context: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_128_digest(b"%d %d " % (f, i) + c) for f, i, c in zip(fp, left, context, strict=True)], dtype=object)
+
+    rows = staged(contexts.dropDuplicates(["fp", "tid", "left", "context"]).withColumn("cid", identity("fp", "left", "context")).withColumn("salt", salt), "crowds")
+    totals = staged(_spread(rows.withColumn("n", F.size("places")), "cid", "n", "salt"), "crowd-totals")
+    # one row of each distinct context, the first of its first salt's
+    firsts = totals.groupBy("cid").agg(F.min("salt").alias("salt"), F.first("total").alias("n"))
+    members = staged(rows.join(firsts.hint("merge"), ["cid", "salt"]).select("cid", "fp", "left", "context", "n").dropDuplicates(["cid"]), "crowd-members")
+    sizes = members.groupBy("fp").agg(F.count(F.lit(1)).alias("size"))
+
+    def group(held: list[tuple]) -> Iterator[tuple[bytes, int, int]]:
+        by_anchor: dict[bytes, list[tuple]] = {}
+        for row in held:
+            by_anchor.setdefault(row[2][row[1] : row[1] + k], []).append(row)
+        for listed in by_anchor.values():
+            found = repeated_offsets([(c[:left][::-1], c[left:], n) for _, left, c, n in listed], length, k)
+            for ranges, row in zip(found, listed, strict=True):
+                for first, last in ranges:
+                    yield row[0], first, last
+
+    ranges_ = "cid binary, first int, last int"
+    columns, kinds = ["cid", "left", "context", "n"], [pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    wide = F.broadcast if sizes.count() <= BROADCAST_ROWS else lambda f: f.hint("merge")
+    found = _grouped(members.join(wide(sizes.where(F.col("size") <= limit)), "fp"), ["fp"], columns, group, ranges_)
+    large = members.join(wide(sizes.where(F.col("size") > limit)), "fp", "left_semi")
+    # a context that stands in several places repeats itself
+    own = large.where("n > 1").select("cid", F.greatest(F.lit(0), length + F.col("left") - F.octet_length("context")).alias("first"), F.least("left", F.lit(length - k)).alias("last"))
+    found = found.unionByName(own.where("first <= last"))
+
+    def parted(width: int, kept: list[int]):
+        """Members by what `width` offsets share: (part, at, and the `kept` columns), for all offsets or those asked for."""
+        names, types = ["part", "at", *(columns[i] for i in kept)], [pa.binary(), pa.int32(), *(kinds[i] for i in kept)]
+
+        def rows_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    out = []
+                    for *member, only in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                        left, context = member[1:3]
+                        for begin in range(0, length - k + 1, width) if only is None else only:
+                            end = min(begin + width, length - k + 1) - 1  # offsets begin to end
+                            if begin <= left and len(context) - left >= length - end:
+                                core = context[left - begin : left + length - end]
+                                out.append((xxhash.xxh3_128_digest(b"%d %d " % (begin, width) + core), begin, *(member[i] for i in kept)))
+                    if out:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["binary", "int", *(["binary", "int", "binary", "bigint"][i] for i in kept)], strict=True))
+        return lambda some: some.mapInArrow(rows_, schema).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+
+    cores = staged(parted(step, [0, 1, 2, 3])(large.select(*columns, F.lit(None).cast("array<int>").alias("only"))), "crowd-cores")
+    filled = staged(_spread(cores.withColumn("one", F.lit(1)), "part", "one", "salt").where("total > 1"), "crowd-parts")
+    fits = cores.join(filled.where(F.col("total") <= limit).hint("merge"), ["part", "salt"])
+    found = found.unionByName(_grouped(fits, ["part"], columns, group, ranges_))
+    # parts of windows that are one string each
+    over = cores.join(filled.where(F.col("total") > limit).hint("merge"), ["part", "salt"])
+    single = over.select(*columns, F.sequence("at", F.least(F.col("at") + step, F.lit(length - k + 1)) - 1).alias("only"))
+    windows = staged(parted(1, [0, 3])(single), "crowd-windows")
+    twice = _spread(windows, "part", "n", "salt").where("total > 1")
+    found = found.unionByName(windows.join(twice.hint("merge"), ["part", "salt"]).select("cid", F.col("at").alias("first"), F.col("at").alias("last")))
+
+    offsets = found.groupBy("cid").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # a few hundred at most
+    known = totals.select("cid", "salt").join(staged(offsets, "crowd-offsets").hint("merge"), "cid")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fp, *row in zip(batch.column(0).to_pylist(), *(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                if fp != now:
-                    out += group(held)
-                    now, held = fp, []
-                    if len(out) > 10_000:
-                        yield block()
-                held.append(row)
-        out += group(held)
-        if out:
-            yield block()
-
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(rows, "tid bigint, begin bigint, end bigint")
-
-
-def _hot_windows(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(hash, tid, begin) of all windows around the given anchors."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tid, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py().encode()
-                starts = sorted({s for p in places for s in range(max(0, p - length + k), min(p, len(data) - length) + 1)})
-                for at in range(0, len(starts), 20_000):
-                    some = starts[at : at + 20_000]
-                    hashes = [xxhash.xxh3_128_digest(data[s : s + length]) for s in some]
-                    yield pa.record_batch([pa.array(hashes, pa.binary()), pa.array([tid] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["hash", "tid", "begin"])
+            for at in range(0, batch.num_rows, 500):
+                tids, out = [], [np.zeros((0, 2), "i8")]
+                for tid, places, ranges in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                    out.append(merged(np.array([(p - r["last"], p - r["first"] + length) for p in places for r in ranges], "i8")))
+                    tids += [tid] * len(out[-1])
+                both = np.concatenate(out)
+                yield pa.record_batch([pa.array(tids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["tid", "begin", "end"])
 
-    return docs.select("tid", "__text", "places").mapInArrow(rows, "hash binary, tid bigint, begin bigint")
+    return rows.join(known.hint("merge"), ["cid", "salt"]).select("tid", "places", "ranges").mapInArrow(spans, "tid bigint, begin bigint, end bigint")
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, k: int = K, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept: the bytes that remain."""
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("__text"), F.xxhash64(body, F.octet_length(body)).alias("tid"))
     texts = staged(docs.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")), "texts")
-    shared = staged(_shared(_find(docs, length, k)), "shared-anchors")
+    found = staged(_find(docs, length, k), "anchors")
+    shared = staged(_shared(found), "shared-anchors")
+    discard(found)
     n_shared = shared.count()
-    crowds = staged(shared.groupBy("fp").count().where(F.col("count") > hot).select("fp"), "hot-anchors")
-    few, many = shared, None
-    if crowds.count():
-        few, many = shared.join(crowds.hint("merge"), "fp", "left_anti"), shared.join(crowds.hint("merge"), "fp", "left_semi")
     once = texts.where("copies > 1").select("tid", "first")
 
     def with_places(anchors_: DataFrame) -> DataFrame:
@@ -298,11 +371,10 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         found = _joined(docs, lists, n_shared)  # of equal texts the first row's; rows that repeat id and text come twice and are told apart later
         return found.where(F.col("first").isNull() | F.struct(F.col("doc_id").isNull(), "doc_id").eqNullSafe(F.col("first")))
 
-    spans = _covered(_contexts(with_places(few), length, k), length, k)
-    if many is not None:
-        windows = staged(_hot_windows(with_places(many), length, k).distinct(), "hot-windows")
-        twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
-        spans = spans.union(windows.join(twice.hint("merge"), "hash").select("tid", "begin", (F.col("begin") + length).alias("end")))
+    spans = _covered(_contexts(with_places(shared.where(F.col("n") <= limit)), length, k), length, k)
+    crowd = shared.where(F.col("n") > limit)
+    if not crowd.isEmpty():
+        spans = spans.union(_crowded(_contexts(with_places(crowd), length, k), length, k, limit, step))
     spans = staged(spans, "spans")
     n_spans = spans.count()
     cuts = spans.groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
