@@ -8,13 +8,13 @@
    order by deep-shallow sorting. Neighbours' common prefixes give, for each offset of the anchor in a window, which members'
    left and right parts agree; members alike in both are repeats, and give covered intervals.
 3. A group that may have more than `LIMIT` members does not go to one task. Equal contexts become one member. Groups still larger
-   are parted by what windows share: all windows in which the anchor stands `STEP` offsets or less apart have a common core, so members that
-   share one of them share the core's hash. Parts that fit are sorted as in 2. In a part that doesn't, windows are
-   parted by their own hashes; then all strings of a part are equal, and are repeats if there are two.
+   are parted by what windows share: all windows in which the anchor stands at some of `STEPS` neighbouring offsets have a common core, so
+   members that share one of them share the core's hash; those alike in all that such windows see become one again. Parts that
+   fit are sorted as in 2. Others are parted by fewer offsets, in the end by one; then a part is one string, a repeat if there are two.
 4. Each text merges its intervals and is cut.
 
 Texts that are equal as a whole are read once; they are repeats of each other throughout. Whole texts, and places of an anchor, are told apart
-by 64-bit hashes, equal contexts, cores and windows of large groups by 128-bit hashes; all else compares bytes.
+by 64-bit hashes, equal strings of large groups by 128-bit hashes; all else compares bytes.
 
 Cases: null text counts as empty; texts under LENGTH bytes lose nothing; positions are bytes of UTF-8 and may cut a
 character; overlaps, also with itself, count; rows that repeat are copies of each other. An empty table gives an empty
@@ -26,10 +26,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.cache import small_batches
@@ -38,8 +37,8 @@ from tributary.llm.suffix_sort import deep_shallow_sort
 from tributary.sources.staging import discard, staged
 
 LENGTH, K = 400, 64
-#: Members sorted in one task, offsets that share a core, and parts over which a hot key is spread.
-LIMIT, STEP, SALTS = 4096, 48, 64
+#: Members sorted in one task, numbers of offsets that share a core, level by level, and parts over which a hot key is spread.
+LIMIT, STEPS, SALTS = 4096, (48, 7), 64
 #: Windows hashed at a time, rows of positions or intervals that may go to every task, and hot anchors that may.
 CHUNK, BROADCAST_ROWS, CROWDS = 1 << 19, 3_000_000, 1_000_000
 _U = np.uint64
@@ -265,80 +264,86 @@ def _covered(contexts: DataFrame, length: int, k: int) -> DataFrame:
     return _grouped(contexts, ["fp"], ["tid", "left", "context", "places"], group, "tid bigint, begin bigint, end bigint")
 
 
-def _spread(rows: DataFrame, key: str, n: str, salt: str) -> DataFrame:
-    """(key, salt, total): sums of `n` for each key, once for each of its salts, so that a join by both has no hot key."""
-    salted = rows.groupBy(key, salt).agg(F.sum(n).alias("n"))
-    return salted.select(key, salt).join(salted.groupBy(key).agg(F.sum("n").alias("total")).hint("merge"), key)
+def _spread(rows: DataFrame, key: str, salt: str, *sums: Column) -> DataFrame:
+    """(key, salt, and the sums over all of a key), once for each salt of a key, so that a join by both has no hot key."""
+    names = [f"s{i}" for i in range(len(sums))]
+    salted = rows.groupBy(key, salt).agg(*(F.sum(c).alias(n) for c, n in zip(sums, names, strict=True)))
+    return salted.select(key, salt).join(salted.groupBy(key).agg(*(F.sum(n).alias(n) for n in names)).hint("merge"), key)
 
 
-def _crowded(contexts: DataFrame, length: int, k: int, limit: int, step: int) -> DataFrame:
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _classes(members: DataFrame, width: int, length: int) -> DataFrame:
+    """(part, ext, lo, hi, first, last, owner, salt, n) of members (owner, left, context, n, lo, hi): the offsets from lo to hi, `width` at
+    a time. Windows at a part's offsets share a core, whose hash is `part`; `ext` is all that the member's see, from first to last."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["part", "ext", "lo", "hi", "first", "last", "owner", "n"], [pa.int64(), pa.binary(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out = []
+                for owner, left, context, n, lo, hi in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                    right = len(context) - left
+                    for begin in range(lo, hi + 1, width):
+                        end = min(begin + width - 1, hi)
+                        first, last = max(begin, length - right), min(end, left)
+                        if first <= last:
+                            core = b"%d %d " % (begin, end) + context[left - begin : left + length - end]
+                            seen = b"%d %d " % (first, last) + core + b" " + context[left - last : left + length - first]
+                            out.append((xxhash.xxh3_64_intdigest(core) - 2**63, xxhash.xxh3_128_digest(seen), begin, end, first, last, owner, n))
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    source = members.select("owner", "left", "context", "n", "lo", "hi")
+    return source.mapInArrow(rows, "part bigint, ext binary, lo int, hi int, first int, last int, owner bigint, n bigint").withColumn("salt", _salt("owner"))
+
+
+def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: int) -> DataFrame:
+    """(owner, first, last): offsets at which members' windows occur in another place.
+
+    Members alike in all that a range of offsets sees are one class. The classes of a part go to one task if there are at most `limit`,
+    else they are parted again, by fewer offsets. With one offset a part is one class, and a repeat if two places have it.
+    """
+    seen = staged(_classes(members, widths[0], length), "crowd-classes")
+    classes = seen.groupBy("part", "ext").agg(F.sum("n").alias("n"), F.min("owner").alias("rep"), *(F.min(c).alias(c) for c in ("lo", "hi", "first", "last"))).withColumn("salt", _salt("ext"))
+    classes = staged(classes, "crowd-parts")
+    parts = _spread(classes, "part", "salt", F.lit(1), F.col("n")).where("s1 > 1").select("part", "salt", F.col("s0").alias("size"))
+    classes = staged(classes.join(parts.hint("merge"), ["part", "salt"]), "crowd-repeats")
+    found = classes.where("n > 1").select("ext", "first", "last")
+    if len(widths) > 1:
+        # what a class sees, of the member that stands for it
+        texts = members.select(F.col("owner").alias("rep"), F.col("left").alias("all"), "context")
+        left = F.expr(f"substring(context, all - last + 1, last + {length} - first)")
+        several = classes.where("size > 1").join(texts.hint("merge"), "rep").select("part", "ext", "n", "size", "lo", "hi", F.col("last").alias("left"), left.alias("context"))
+
+        def group(held: list[tuple]) -> Iterator[tuple[bytes, int, int]]:
+            by_anchor: dict[bytes, list[tuple]] = {}
+            for row in held:
+                by_anchor.setdefault(row[2][row[1] : row[1] + k], []).append(row)
+            for listed in by_anchor.values():
+                ranges = repeated_offsets([(c[:at][::-1], c[at:], n) for _, at, c, n in listed], length, k)
+                yield from ((row[0], first, last) for some, row in zip(ranges, listed, strict=True) for first, last in some)
+
+        small = _grouped(several.where(F.col("size") <= limit), ["part"], ["ext", "left", "context", "n"], group, "ext binary, first int, last int")
+        deeper = several.where(F.col("size") > limit).select(F.xxhash64("ext").alias("owner"), "left", "context", "n", "lo", "hi")
+        deeper = staged(deeper, "crowd-members")
+        found = found.unionByName(small)
+        if not deeper.isEmpty():
+            again = _parted(deeper, widths[1:], length, k, limit)
+            found = found.unionByName(again.join(classes.select(F.xxhash64("ext").alias("owner"), "ext").hint("merge"), "owner").select("ext", "first", "last"))
+    found = staged(found.distinct(), "crowd-offsets")
+    spread = seen.select("ext", "salt").distinct().join(found.withColumnRenamed("first", "a").withColumnRenamed("last", "b").hint("merge"), "ext")
+    return seen.select("ext", "salt", "owner").join(spread.hint("merge"), ["ext", "salt"]).select("owner", F.col("a").alias("first"), F.col("b").alias("last"))
+
+
+def _crowded(contexts: DataFrame, length: int, k: int, limit: int, steps: tuple[int, ...]) -> DataFrame:
     """As _covered, for contexts of anchors that are met often."""
-    salt = F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int")
-
-    @F.pandas_udf("binary")
-    def identity(fp: pd.Series, left: pd.Series, context: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(b"%d %d " % (f, i) + c) for f, i, c in zip(fp, left, context, strict=True)], dtype=object)
-
-    rows = staged(contexts.dropDuplicates(["fp", "tid", "left", "context"]).withColumn("cid", identity("fp", "left", "context")).withColumn("salt", salt), "crowds")
-    totals = staged(_spread(rows.withColumn("n", F.size("places")), "cid", "n", "salt"), "crowd-totals")
-    # one row of each distinct context, the first of its first salt's
-    firsts = totals.groupBy("cid").agg(F.min("salt").alias("salt"), F.first("total").alias("n"))
-    members = staged(rows.join(firsts.hint("merge"), ["cid", "salt"]).select("cid", "fp", "left", "context", "n").dropDuplicates(["cid"]), "crowd-members")
-    sizes = members.groupBy("fp").agg(F.count(F.lit(1)).alias("size"))
-
-    def group(held: list[tuple]) -> Iterator[tuple[bytes, int, int]]:
-        by_anchor: dict[bytes, list[tuple]] = {}
-        for row in held:
-            by_anchor.setdefault(row[2][row[1] : row[1] + k], []).append(row)
-        for listed in by_anchor.values():
-            found = repeated_offsets([(c[:left][::-1], c[left:], n) for _, left, c, n in listed], length, k)
-            for ranges, row in zip(found, listed, strict=True):
-                for first, last in ranges:
-                    yield row[0], first, last
-
-    ranges_ = "cid binary, first int, last int"
-    columns, kinds = ["cid", "left", "context", "n"], [pa.binary(), pa.int32(), pa.binary(), pa.int64()]
-    wide = F.broadcast if sizes.count() <= BROADCAST_ROWS else lambda f: f.hint("merge")
-    found = _grouped(members.join(wide(sizes.where(F.col("size") <= limit)), "fp"), ["fp"], columns, group, ranges_)
-    large = members.join(wide(sizes.where(F.col("size") > limit)), "fp", "left_semi")
-    # a context that stands in several places repeats itself
-    own = large.where("n > 1").select("cid", F.greatest(F.lit(0), length + F.col("left") - F.octet_length("context")).alias("first"), F.least("left", F.lit(length - k)).alias("last"))
-    found = found.unionByName(own.where("first <= last"))
-
-    def parted(width: int, kept: list[int]):
-        """Members by what `width` offsets share: (part, at, and the `kept` columns), for all offsets or those asked for."""
-        names, types = ["part", "at", *(columns[i] for i in kept)], [pa.binary(), pa.int32(), *(kinds[i] for i in kept)]
-
-        def rows_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    out = []
-                    for *member, only in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                        left, context = member[1:3]
-                        for begin in range(0, length - k + 1, width) if only is None else only:
-                            end = min(begin + width, length - k + 1) - 1  # offsets begin to end
-                            if begin <= left and len(context) - left >= length - end:
-                                core = context[left - begin : left + length - end]
-                                out.append((xxhash.xxh3_128_digest(b"%d %d " % (begin, width) + core), begin, *(member[i] for i in kept)))
-                    if out:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-        schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["binary", "int", *(["binary", "int", "binary", "bigint"][i] for i in kept)], strict=True))
-        return lambda some: some.mapInArrow(rows_, schema).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
-
-    cores = staged(parted(step, [0, 1, 2, 3])(large.select(*columns, F.lit(None).cast("array<int>").alias("only"))), "crowd-cores")
-    filled = staged(_spread(cores.withColumn("one", F.lit(1)), "part", "one", "salt").where("total > 1"), "crowd-parts")
-    fits = cores.join(filled.where(F.col("total") <= limit).hint("merge"), ["part", "salt"])
-    found = found.unionByName(_grouped(fits, ["part"], columns, group, ranges_))
-    # parts of windows that are one string each
-    over = cores.join(filled.where(F.col("total") > limit).hint("merge"), ["part", "salt"])
-    single = over.select(*columns, F.sequence("at", F.least(F.col("at") + step, F.lit(length - k + 1)) - 1).alias("only"))
-    windows = staged(parted(1, [0, 3])(single), "crowd-windows")
-    twice = _spread(windows, "part", "n", "salt").where("total > 1")
-    found = found.unionByName(windows.join(twice.hint("merge"), ["part", "salt"]).select("cid", F.col("at").alias("first"), F.col("at").alias("last")))
-
-    offsets = found.groupBy("cid").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # a few hundred at most
-    known = totals.select("cid", "salt").join(staged(offsets, "crowd-offsets").hint("merge"), "cid")
+    rows = contexts.dropDuplicates(["fp", "tid", "left", "context"]).withColumn("owner", F.xxhash64("tid", "left", "context")).withColumn("n", F.size("places").cast("bigint"))
+    rows = staged(rows.select("owner", "tid", "places", "left", "context", "n", F.lit(0).alias("lo"), F.lit(length - k).alias("hi")), "crowds")
+    offsets = _parted(rows, [length - k + 1, *steps, 1], length, k, limit)
+    lists = offsets.groupBy("owner").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # a few hundred at most
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,10 +355,10 @@ def _crowded(contexts: DataFrame, length: int, k: int, limit: int, step: int) ->
                 both = np.concatenate(out)
                 yield pa.record_batch([pa.array(tids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["tid", "begin", "end"])
 
-    return rows.join(known.hint("merge"), ["cid", "salt"]).select("tid", "places", "ranges").mapInArrow(spans, "tid bigint, begin bigint, end bigint")
+    return rows.select("owner", "tid", "places").join(lists.hint("merge"), "owner").select("tid", "places", "ranges").mapInArrow(spans, "tid bigint, begin bigint, end bigint")
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, k: int = K, limit: int = LIMIT, step: int = STEP) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, k: int = K, limit: int = LIMIT, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept: the bytes that remain."""
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -374,7 +379,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spans = _covered(_contexts(with_places(shared.where(F.col("n") <= limit)), length, k), length, k)
     crowd = shared.where(F.col("n") > limit)
     if not crowd.isEmpty():
-        spans = spans.union(_crowded(_contexts(with_places(crowd), length, k), length, k, limit, step))
+        spans = spans.union(_crowded(_contexts(with_places(crowd), length, k), length, k, limit, steps))
     spans = staged(spans, "spans")
     n_spans = spans.count()
     cuts = spans.groupBy("tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
