@@ -52,6 +52,32 @@ def test_in_small_batches_and_blocks(spark, odd, odd_rows, small_batches, monkey
     assert Counter(map(tuple, N.ngram_join(odd).collect())) == expected(odd_rows)
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Tiles of many blocks: links and candidates stay in proportion to nodes, and the blocks' components meet."""
+    import random
+
+    monkeypatch.setattr(N, "BLOCK_NODES", 16)
+    rng = random.Random(2)
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(1000):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{i}"
+        rows.append((i, " ".join(copy), None, None, None))
+    counts = {}
+    plain = N.staged
+
+    def counting(frame, name, *rest):
+        out = plain(frame, name, *rest)
+        counts[name] = counts.get(name, 0) + (out.count() if name in ("tile-pairs", "sample-links", "tile-links") else 0)
+        return out
+
+    monkeypatch.setattr(N, "staged", counting)
+    found = N.ngram_join(docs(spark, rows)).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 1000
+    assert counts["tile-pairs"] <= 1000 and counts["sample-links"] <= 20_000
+
+
 def test_without_broadcasts(odd, odd_rows, monkeypatch):
     monkeypatch.setattr(N, "BROADCAST_ROWS", -1)
     assert Counter(map(tuple, N.ngram_join(odd).collect())) == expected(odd_rows)

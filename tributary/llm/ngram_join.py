@@ -1,17 +1,19 @@
 """Exact Jaccard join of documents on word shingles, and the components of its links.
 
 1. Each text becomes the set of its shingles' 64-bit hashes. Texts with equal sets are one node from here on.
-2. Nodes that share a minimum hash form groups, cut into blocks of bounded size. A block keeps a forest: each node is checked
-   exactly against the nodes that its bitmap says are nearest. The links found join most groups of near copies, so that
-   later steps need not look at pairs within them.
+2. Tiles are made of nodes that have a shingle and a band of sizes in common; sets near a band's upper edge also visit the next. The
+   first pass takes a sample of tiles, two shingles of each node. Within a block of a tile, hashed parity bitmaps give by XOR and bit
+   counts a lower bound of the difference and so an upper bound of the overlap; each node is checked exactly, on sorted arrays, against
+   those that the bound lets pass, nearest first, until it is linked to all of them or to their components: a forest. Where a tile had
+   several blocks, one node of each component found so far meets the others' in new blocks, round by round, so links across blocks
+   cost no more than those within, and groups of near copies enter the second pass as one component.
 3. Any two sets that reach the threshold share a shingle among the rarest quarter of each (prefix filter; any order that is
    the same for all sets is right, and the order is by class of a frequency sketch over all shingles, of fixed size). The
    first one that they share must leave room for the overlap: its place in a set bounds the partner's size (positional
    filter). Rows of prefixes are dealt by shingle and sorted by set size; those without a partner within both bounds, or
    whose shingle is in one component only, fall away in a streaming pass.
-4. What is left forms tiles by shingle and size band; sets near a band's upper edge also visit the next. Hashed parity bitmaps, folded
-   to one width, give by XOR and bit counts a lower bound of the difference and so an upper bound of the overlap. Tiles of
-   many rows are cut into blocks, each pair of blocks a tile of its own.
+4. What is left forms the tiles of the second pass, which is complete: all nodes of different components that share one are compared by
+   their bitmaps, folded to one width. Tiles of many rows are cut into blocks, each pair of blocks a tile of its own.
 5. Pairs that pass the bound are checked exactly on sorted arrays, dealt by one side and salted by its number of pairs.
 
 No links between different sets of different components are lost. Identity of shingles and sets is by 64-bit hashes.
@@ -41,10 +43,10 @@ from tributary.sources.staging import staged
 WORDS, PERCENT = 5, 75
 KEYS, SKETCH_BITS, SLICES = 2, 20, 16
 #: Rows of ids that may go to every task; rows of a tile compared as one block; pairs of one node checked in one task; hashes
-#: and nodes in one block of a group, and failed checks of a node there; bits of a bitmap for each shingle; steps in a band; rows
+#: and nodes in one block of a sampled tile, and failed checks of a node there; bits of a bitmap for each shingle; steps in a band; rows
 #: of one shingle that a task holds to look for partners (more all count as having one).
 BROADCAST_ROWS, BLOCK_ROWS, PAIRS = 2_000_000, 8192, 2000
-BLOCK_HASHES, BLOCK_NODES, TRIES, BITS, BANDS, HELD = 4 << 20, 4096, 8, 2, 4, 1_000_000
+BLOCK_HASHES, BLOCK_NODES, TRIES, BITS, BANDS, HELD = 4 << 20, 512, 8, 2, 4, 1_000_000
 _U = np.uint64
 #: A random number for each byte, and what each byte counts as: A-Z as a-z, and whether it parts words.
 BYTES = np.random.default_rng(1).integers(0, 2**63, 256, dtype="u8") * _U(2) + _U(1)
@@ -190,18 +192,45 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return _lookup(docs, by_id, "inner").select("__text", "want").mapInArrow(rows, "sid bigint, hashes binary").dropDuplicates(["sid"])
 
 
-def _near_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): links within groups of nodes that share a minimum hash, as a forest for each block of a group."""
+def _reach(n: Column, percent: int) -> Column:
+    """The band of the largest set that can reach the threshold with one of n."""
+    return F.greatest(band(n, percent), band(n * (100 / percent * (1 + 1e-9)), percent))
+
+
+def _sampled_tiles(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): links within sampled tiles, block by block, then between the blocks' components."""
+    tile = ["k", "key", "band"]
+    left = nodes.select("sid", "__key", "n", F.posexplode("keys").alias("k", "key")).withColumn("band", F.explode(F.sequence(band(F.col("n"), percent), _reach(F.col("n"), percent))))
+    found, before, turn = None, None, 0
+    while True:
+        sizes = left.groupBy(*tile).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("hashes")).where("c > 1")
+        blocks = F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int")
+        members = left.join(sizes.select(*tile, blocks.alias("blocks")).hint("merge"), tile)
+        members = staged(members.withColumn("block", F.pmod(F.xxhash64("sid", "k", F.lit(turn)), F.col("blocks")).cast("int")), "tile-members")
+        links_ = staged(_block_links(docs, members, words, percent).distinct(), "sample-links")
+        found = links_ if found is None else staged(found.union(links_).distinct(), "sample-links")
+        cut = members.where("blocks > 1")
+        n = cut.count()
+        if not n or (before is not None and 2 * n > before):  # what is left is for the second pass
+            return found
+        grouped = staged(components(found), "sample-components")
+        known = cut.join(grouped.hint("merge"), F.col("sid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "sid"))
+        one = known.groupBy(*tile, "c").agg(F.min(F.struct("sid", "__key", "n")).alias("one"))
+        left, before, turn = staged(one.select(*tile, "one.*"), "tile-members"), n, turn + 1
+
+
+def _block_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): links within blocks of tiles, as a forest for each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["k", "key", "block", "sid", "hashes"], [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names, types = ["k", "key", "band", "block", "sid", "hashes"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             for t, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingles(t.as_py(), words)
                 if len(s):
                     sid, packed = set_id(s), s.tobytes()
-                    out += [(w["k"], w["key"], w["block"], sid, packed) for w in want if w["sid"] == sid]
+                    out += [(w["k"], w["key"], w["band"], w["block"], sid, packed) for w in want if w["sid"] == sid]
                 if len(out) >= 500:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                     out = []
@@ -239,7 +268,7 @@ def _near_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
             return pa.record_batch([pa.array([x[k] for x in links_], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            for *group, sid, packed in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+            for *group, sid, packed in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
                 if group != now:
                     if len(sids) > 1:
                         yield done()
@@ -249,14 +278,10 @@ def _near_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
         if len(sids) > 1:
             yield done()
 
-    keyed = nodes.select("sid", "__key", "n", F.posexplode("keys").alias("k", "key"))
-    groups = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("hashes")).where("c > 1")
-    groups = groups.select("k", "key", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    members = keyed.join(groups.hint("merge"), ["k", "key"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    wanted = staged(members.groupBy("__key").agg(F.collect_list(F.struct("sid", "k", "key", "block")).alias("want")), "groups")
-    dealt = _lookup(docs, wanted, "inner").select("__text", "want").mapInArrow(sets, "k int, key bigint, block int, sid bigint, hashes binary")
+    place = ["k", "key", "band", "block"]
+    wanted = staged(members.groupBy("__key").agg(F.collect_list(F.struct("sid", *place)).alias("want")), "groups")
+    dealt = _lookup(docs, wanted, "inner").select("__text", "want").mapInArrow(sets, "k int, key bigint, band int, block int, sid bigint, hashes binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ["k", "key", "block"]
     return dealt.repartition(n, *place).sortWithinPartitions(*place, "sid").mapInArrow(rows, "u bigint, v bigint")
 
 
@@ -454,15 +479,14 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: in
     scanned = staged(_scan(docs, "__text", "__id", words), "shingle-scan")
     rows = scanned.where("slot = -1").select("doc_id", "n", "sid", "keys", "bits")
     nodes = staged(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("__key"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    found = staged(_near_groups(docs, nodes, words, percent).distinct(), "group-links")
+    found = _sampled_tiles(docs, nodes, words, percent)
     grouped = staged(components(found), "group-components")
 
     known = staged(rows.where("sid is not null").join(nodes.select("sid", "__key").hint("merge"), "sid").join(grouped.hint("merge"), F.col("sid") == F.col("node"), "left")
                    .select(F.col("doc_id").alias("__row"), "sid", (~F.col("doc_id").eqNullSafe(F.col("__key"))).alias("skip"), F.coalesce("component", "sid").alias("comp")).distinct()
                    .withColumnRenamed("__row", "__key"), "known")
     live = staged(_with_partner(_prefixes(docs, known, _classes(scanned), words, percent)), "live")
-    reach = F.greatest(band(F.col("n"), percent), band(F.col("n") * (100 / percent * (1 + 1e-9)), percent))
-    sized = live.distinct().withColumn("band", band(F.col("n"), percent)).withColumn("reach", reach)
+    sized = live.distinct().withColumn("band", band(F.col("n"), percent)).withColumn("reach", _reach(F.col("n"), percent))
     both = sized.withColumn("own_band", F.col("band")).withColumn("band", F.explode(F.sequence("band", "reach"))).select("key", "band", (F.col("band") == F.col("own_band")).alias("home"), "sid", "comp", "n", "most")
     counts = both.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("any"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("any and c0 <> c1")
     counts = counts.select("key", "band", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))

@@ -47,7 +47,7 @@ def op4_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_dedup(_documents(spark, sf))
+    return exact_dedup(_documents(spark, sf), verify_texts=True)
 
 
 def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
