@@ -7,8 +7,8 @@
    fingerprint. In a group, the strings to the right of the anchor and those to the left, read backwards, are put in suffix
    order by deep-shallow sorting. Neighbours' common prefixes give, for each offset of the anchor in a window, which members'
    left and right parts agree; members alike in both are repeats, and give covered intervals.
-3. A group that may have more than `LIMIT` members does not go to one task. Equal contexts become one member. Groups still larger
-   are parted by what windows share: all windows in which the anchor stands at some of `STEPS` neighbouring offsets have a common core, so
+3. A group of an anchor met more than `LIMIT` times does not go to one task. Equal contexts become one member. Groups of more
+   than `PART` are parted by what windows share: all windows in which the anchor stands at some of `STEPS` neighbouring offsets have a common core, so
    members that share one of them share the core's hash; those alike in all that such windows see become one again. Parts that
    fit are sorted as in 2. Others are parted by fewer offsets, in the end by one; then a part is one string, a repeat if there are two.
 4. Each text merges its intervals and is cut.
@@ -37,8 +37,9 @@ from tributary.llm.suffix_sort import deep_shallow_sort
 from tributary.sources.staging import discard, staged
 
 LENGTH, K = 400, 64
-#: Members sorted in one task, numbers of offsets that share a core, level by level, and parts over which a hot key is spread.
-LIMIT, STEPS, SALTS = 4096, (48, 7), 64
+#: Places of an anchor that may go to one task, members of a part that may, numbers of offsets that share a core, level by level, and
+#: salts over which a hot key is spread.
+LIMIT, PART, STEPS, SALTS = 4096, 512, (48, 7), 64
 #: Windows hashed at a time, rows of positions or intervals that may go to every task, and hot anchors that may.
 CHUNK, BROADCAST_ROWS, CROWDS = 1 << 19, 3_000_000, 1_000_000
 _U = np.uint64
@@ -301,7 +302,7 @@ def _classes(members: DataFrame, width: int, length: int) -> DataFrame:
 
 
 def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: int) -> DataFrame:
-    """(owner, first, last): offsets at which members' windows occur in another place.
+    """(owner, ranges): ranges of offsets (first, last) at which members' windows occur in another place, in one row or several.
 
     Members alike in all that a range of offsets sees are one class. The classes of a part go to one task if there are at most `limit`,
     else they are parted again, by fewer offsets. With one offset a part is one class, and a repeat if two places have it.
@@ -332,18 +333,19 @@ def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: i
         found = found.unionByName(small)
         if not deeper.isEmpty():
             again = _parted(deeper, widths[1:], length, k, limit)
-            found = found.unionByName(again.join(classes.select(F.xxhash64("ext").alias("owner"), "ext").hint("merge"), "owner").select("ext", "first", "last"))
-    found = staged(found.distinct(), "crowd-offsets")
-    spread = seen.select("ext", "salt").distinct().join(found.withColumnRenamed("first", "a").withColumnRenamed("last", "b").hint("merge"), "ext")
-    return seen.select("ext", "salt", "owner").join(spread.hint("merge"), ["ext", "salt"]).select("owner", F.col("a").alias("first"), F.col("b").alias("last"))
+            known = again.join(classes.select(F.xxhash64("ext").alias("owner"), "ext").hint("merge"), "owner")
+            found = found.unionByName(known.select("ext", F.inline("ranges")))
+    found = staged(found.groupBy("ext").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "crowd-offsets")  # one row each, of a few hundred ranges at most
+    spread = seen.select("ext", "salt").distinct().join(found.hint("merge"), "ext")
+    return seen.select("ext", "salt", "owner").join(spread.hint("merge"), ["ext", "salt"]).select("owner", "ranges")
 
 
 def _crowded(contexts: DataFrame, length: int, k: int, limit: int, steps: tuple[int, ...]) -> DataFrame:
     """As _covered, for contexts of anchors that are met often."""
     rows = contexts.dropDuplicates(["fp", "tid", "left", "context"]).withColumn("owner", F.xxhash64("tid", "left", "context")).withColumn("n", F.size("places").cast("bigint"))
     rows = staged(rows.select("owner", "tid", "places", "left", "context", "n", F.lit(0).alias("lo"), F.lit(length - k).alias("hi")), "crowds")
-    offsets = _parted(rows, [length - k + 1, *steps, 1], length, k, limit)
-    lists = offsets.groupBy("owner").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # a few hundred at most
+    offsets = _parted(rows, [length - k + 1, *steps, 1], length, k, min(limit, PART))
+    lists = offsets.groupBy("owner").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # a few hundred at most
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
