@@ -65,7 +65,7 @@ def test_context_tells_quotation_from_abuse():
 def test_toxicity_on_held_out_rows(spark):
     found = queries.op2_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (found.predicted == found.toxic).mean() > 0.97
-    assert found[found.toxic == 1].predicted.mean() > 0.85
+    assert found[found.toxic == 1].predicted.mean() > 0.9 and found[found.predicted == 1].toxic.mean() > 0.9
     assert ((found.score >= 0) & (found.score <= 1)).all() and ((found.score >= 0.5) == (found.predicted == 1)).all()
 
 
@@ -122,6 +122,67 @@ def test_toxicity_of_odd_rows(odd, odd_rows, none, spark):
     assert score_documents(none, fit(none, marks), held).count() == 0
 
 
+def test_toxicity_against_a_plain_version(spark):
+    """The lexicon by counting words of plain sets of texts, the matches by edit distances to every term, the fit on the same features."""
+    rng = random.Random(3)
+    long = "x" * 60  # no word is too long to be learned
+    texts = [words(rng, 15, 10**6) + (f" you {rng.choice(['blackguard', 'villain', long])}" if i < 120 else " he said villain" if i < 125 else "") for i in range(900)]
+    toxic = [i < 120 for i in range(900)]
+    tried = ["you blakguard", "vilain!", "he said a villain", "", None, "x" * 59, "x" * 57 + "yyy", "blackguards you vllain", *texts[100:140]]
+    frame = docs(spark, [(i, t, None, None, 0) for i, t in enumerate([*texts, *tried])])
+    model = fit(frame, labels(spark, [(i, 1, int(t)) for i, t in enumerate(toxic)]))
+    count = [Counter(w for t, y in zip(texts, toxic, strict=True) if y == side for w in set(t.split())) for side in (False, True)]
+    share, weights = 120 / 900, {}
+    for w, t in count[1].items():
+        c, q = count[0][w], t / (t + count[0][w])
+        n = t + c
+        chance = -n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0)) / math.log(10) if q > share else 0
+        if t >= 3 and chance <= -6 and (t + 0.5) / 121 >= 2 * (c + 0.5) / 781:
+            weights[w] = min(8, max(0.1, math.log((t + 0.5) / 121) - math.log((c + 0.5) / 781))) / 4
+    assert set(weights) >= {"blackguard", "villain", long} and model.terms == pytest.approx(weights)
+
+    def nearest(word):
+        near = min(((d, t) for t in weights if (d := distance(word, t)) <= allowed_edits(t)), default=None)
+        return near and (near[1], near[0])
+
+    for t in texts + tried:
+        for w in (t or "").lower().split():
+            bare = w.strip("!")
+            assert (model.automaton.match(bare) if bare else None) == (nearest(bare) if bare else None)
+    got = {r.doc_id: r.score for r in score_documents(frame, model, F.lit(False)).collect()}
+    for i, t in enumerate([*texts, *tried]):
+        x = np.concatenate([[1], model.features(t)])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, float(x @ model.weights))))))
+
+
+def test_language_against_a_plain_version(odd, odd_rows):
+    """Prototypes as sums of bound letters of all learned texts, one trigram after another."""
+    two, one, zero = L.letter_vectors()
+    codes = L.letter_codes()
+
+    def profile(text):
+        seq = [0]
+        for c in text or "":
+            code = int(codes[ord(c)])
+            if code or seq[-1]:
+                seq.append(code)
+        seq += [0] if seq[-1] else []
+        return sum((two[a].astype(int) * one[b] * zero[c] for a, b, c in zip(seq, seq[1:], seq[2:], strict=False)), np.zeros(L.DIMENSIONS))
+
+    rows = [r for r in odd_rows if r[0] is not None and len(r[1] or "") < 5000]
+    totals = {}
+    for i, t, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            totals[lang] = totals.get(lang, 0) + profile(t)
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in L.identify(docs(odd.sparkSession, rows), fold(F.col("doc_id"), 3) == 1).collect())
+    expected = Counter()
+    for i, t, *_ in rows:
+        p = profile(t)
+        near = max((float(p @ v / (np.linalg.norm(p) * np.linalg.norm(v))), name) for name, v in totals.items()) if any(codes[ord(c)] for c in t or "") else (0.0, "und")
+        expected[i, near[1], round(min(1, max(0, near[0])), 4)] += 1
+    assert sum((got - expected).values()) <= 0.02 * len(rows)  # rounding of the fourth place
+
+
 def test_language_on_held_out_rows(spark):
     found = queries.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (found.lang == found.lang_pred).mean() > 0.98
@@ -254,6 +315,39 @@ def test_a_mixture_that_drops_nothing(spark):
     assert {r.doc_id for r in got.collect()} == set(range(400))
 
 
+def test_the_whole_mixture_against_a_plain_version(spark):
+    """Memberships from plain counts, rates from a plain solver of the same least squares."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("good", "fine") if i % 4 else ("bad", "poor")) if rng.random() < 0.3 else f"w{rng.randrange(30)}" for _ in range(rng.randrange(5, 40))) for i in range(200)]
+    frame = docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    marks = labels(spark, [(i, int(i % 4 > 0), 0) for i in range(0, 200, 2)])
+    got = {r.doc_id: r for r in M.mix_report(frame, marks, F.expr("case quality when 1 then 'clean' else 'poor' end"), {"clean": 0.5, "poor": 0.5}).collect()}
+    split = lambda t: np.array([M._feature(w) for w in t.split()])
+    low = (1 << M.SHAPE_BITS) - 1
+    tables = []
+    for shift, size in ((M.SHAPE_BITS, 1 << M.WORD_BITS), (0, 1 << M.SHAPE_BITS)):
+        table = np.full((size, 2), 0.5)
+        for i in range(0, 200, 2):
+            for f in split(texts[i]):
+                table[(f >> shift) if shift else (f & low), 0 if i % 4 else 1] += 1
+        table /= table.sum(axis=0)
+        tables.append(np.log(table) - np.log(table.mean(axis=1, keepdims=True)))
+    p, n = [], []
+    for t in texts:
+        f = split(t)
+        logs = np.log(0.5) + sum(tables[0][f >> M.SHAPE_BITS] + tables[1][f & low]) * min(1, M.EVIDENCE / len(f))
+        e = np.exp(logs - logs.max())
+        p.append(e / e.sum())
+        n.append(len(f))
+    p, n = np.array(p), np.array(n)
+    for i in range(200):
+        assert got[i].n_tokens == n[i] and np.allclose(got[i].posterior, p[i], atol=1e-9)
+    rates = np.array([got[i].rate for i in range(200)])
+    target = n.sum() / 2
+    assert (rates >= 0).all() and np.allclose((p * (n * rates)[:, None]).sum(axis=0), [target, target], rtol=2e-4)
+    assert all(0 <= got[i].copies - math.floor(rates[i]) <= 1 for i in range(200))
+
+
 @pytest.mark.parametrize("marked", [0, 40])
 def test_mixing_of_odd_rows(odd, odd_rows, none, spark, marked):
     marks = labels(spark, [(i, i % 2, 0) for i in range(marked)] + [(None, 1, 1), (5, None, None)])

@@ -1,16 +1,26 @@
 import os
+import random
 import re
 import subprocess
 import sys
 
+from collections import Counter
+
 import numpy as np
+import public_tokenizers
+import sentencepiece
+from edge import CLASHES, SCHEMA, labels, words
 from pyspark.sql import functions as F
+from test_ngram_join import FOLD
+from test_ngram_join import expected as near_groups
 
 import corpus_pipeline
 from tributary.llm import queries
 from tributary.llm.exact_dedup import exact_dedup
 from tributary.llm.mixing import fit_classifier, memberships
 from tributary.llm.ngram_join import ngram_join
+from tributary.llm.toxicity import fit
+from tributary.sources.staging import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +44,62 @@ def test_stages_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).count() == kept[-1]
 
 
+def test_stages_on_odd_rows_against_plain_versions(spark, odd, odd_rows, tmp_path):
+    """Nulls, ties, repeats, ids that are missing and clashing names through every stage; which rows stay, by brute force."""
+    sf = str(tmp_path)
+    rng = random.Random(4)
+    more = [(1000 + i, words(rng, 12, 10**6) + (" you blackguard" if i < 60 else ""), "en", "hot", 0) for i in range(120)]
+    marks = [(i, i % 3 and 1, 0) for i in range(0, 90)] + [(3, None, None), (None, 1, 1)] + [(1000 + i, 1, int(i < 60)) for i in range(120)]
+    frame = spark.createDataFrame(odd_rows + more, SCHEMA)
+    clashing = frame.select("*", *(F.lit("clash").alias(c) for c in CLASHES))
+    clashing.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    labels(spark, marks).write.parquet(f"{sf}/labels.parquet")
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = lambda some: Counter((r.doc_id, r.text, r.lang, r.source) for r in some.collect())
+    now, stages = docs_, dict(corpus_pipeline.STAGES)
+
+    model = fit(now, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = staged(stages["toxicity"](spark, now, sf))
+    assert plain(kept) == Counter({k: n for k, n in plain(now).items() if model.score(k[1]) < 0.5}) and kept.count() < now.count()
+    now = kept
+
+    kept, groups = staged(stages["exact_dedup"](spark, now, sf)), {}
+    for i, t, *_ in plain(now):
+        groups.setdefault((t or "").translate(FOLD), []).append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert plain(kept) == Counter({k: n for k, n in plain(now).items() if k[0] == best[(k[1] or "").translate(FOLD)]})
+    now = kept
+
+    kept = staged(stages["ngram_jaccard_join"](spark, now, sf))
+    rows = list(plain(now).elements())
+    stay = {i for i, _, least in near_groups(rows) if i == least}
+    assert plain(kept) == Counter(r for r in rows if r[0] in stay) and kept.count() < now.count()
+    now = kept
+
+    kept = staged(stages["mixing"](spark, now, sf))
+    assert kept.columns == docs_.columns and set(plain(kept)) == set(plain(now)) and not plain(now) - plain(kept)
+    now = kept
+
+    model_path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    last = Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in stages["sentencepiece"](spark, now, sf).collect())
+    expected = Counter()
+    for (i, t, *_), n in plain(now).items():
+        ids = library.encode(t or "")
+        expected[i, len(ids), tuple(ids), library.decode(ids)] += n
+    assert last == expected
+
+
+def test_stages_of_an_empty_table(spark, none, tmp_path):
+    sf = str(tmp_path)
+    none.write.parquet(f"{sf}/documents.parquet")
+    labels(spark, []).write.parquet(f"{sf}/labels.parquet")
+    now = none
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf)
+        assert now.count() == 0 and (name == "sentencepiece" or now.columns == none.columns)
+
+
 def test_the_last_stage_decodes(spark):
     frame = spark.createDataFrame([(1, "One two  three, ñ 中文"), (2, ""), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in corpus_pipeline.encoding(spark, frame, SF).collect()}

@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             for txt, y, sid in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 g = group.get(sid)
                 for w in {w.strip(PUNCTUATION) for w in set(txt.as_py().lower().split())}:
-                    if w and len(w) <= 40:
+                    if w:
                         counts.setdefault((w, g), [0, 0])[y] += 1
             columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())]
             yield pa.record_batch(columns, names=["w", "g", "t", "c"])
