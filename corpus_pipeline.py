@@ -59,7 +59,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", near_dedup), ("mixing", mixing), ("sentencepiece", encoding)]
 
-#: Learned scores, components and subword merges are not to be had from SQL; tests hold each stage against brute force.
+#: Learned scores, components and subword merges are not to be had from SQL; tests hold the rows of each stage against a plain version of it.
 ORACLE_SQL = None
 
 
