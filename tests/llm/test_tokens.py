@@ -66,8 +66,8 @@ def test_encoded_documents(odd, odd_rows, piece):
     ids = [(r[0], piece.encode(r[1] or "")) for r in odd_rows]
     expected = Counter((i, len(x), sha(",".join(map(str, x))), sha(piece.decode(x))) for i, x in ids)
     assert Counter(map(tuple, encode_digests(odd, PIECE).collect())) == expected
-    got = decode_documents(encode_documents(odd, PIECE), PIECE).collect()
-    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == Counter((i, tuple(x), piece.decode(x)) for i, x in ids)
+    for got in (decode_documents(encode_documents(odd, PIECE), PIECE), encode_documents(odd, PIECE, decoded=True)):
+        assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got.collect()) == Counter((i, tuple(x), piece.decode(x)) for i, x in ids)
 
 
 def test_words_are_the_librarys(word):

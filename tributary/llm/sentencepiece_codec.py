@@ -197,8 +197,8 @@ def codec(path: str) -> Codec:
     return alone(("codec", path), lambda: Codec(path))
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row."""
+def encode_documents(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each row; with `decoded` also the text decoded from its ids, by the same worker."""
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +209,14 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", doc_id: st
                 packed = [c.packed(t.as_py() or "") for t in part.column(1)]
                 n = np.array([len(p) // 4 for p in packed], "i8")
                 ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                yield pa.record_batch([part.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), ids)], names=["doc_id", "n_tokens", "ids"])
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array(n), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), ids)}
+                if decoded:
+                    columns["decoded"] = pa.array([c.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
+                yield pa.record_batch(list(columns.values()), names=list(columns))
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return source.mapInArrow(rows, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>")
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>"
+    return source.mapInArrow(rows, schema + ", decoded string" if decoded else schema)
 
 
 def decode_documents(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
