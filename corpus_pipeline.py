@@ -18,7 +18,7 @@ from tributary.llm.mixing import mix
 from tributary.llm.ngram_join import one_of_each_group
 from tributary.llm.queries import DOMAIN
 from tributary.llm.queries import WEIGHTS as ALL_WEIGHTS
-from tributary.llm.sentencepiece_codec import decode_documents, encode_documents
+from tributary.llm.sentencepiece_codec import encode_documents
 from tributary.llm.toxicity import fit, scorer
 from tributary.sources.staging import staged
 
@@ -53,8 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of each row: its ids, and the text decoded from them."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return decode_documents(encode_documents(docs, model), model)
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", near_dedup), ("mixing", mixing), ("sentencepiece", encoding)]
