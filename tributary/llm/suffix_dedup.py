@@ -10,7 +10,10 @@
 3. A group of an anchor met more than `LIMIT` times does not go to one task. Equal contexts become one member. Groups of more
    than `PART` are parted by what windows share: all windows in which the anchor stands at some of `STEPS` neighbouring offsets have a common core, so
    members that share one of them share the core's hash; those alike in all that such windows see become one again. Parts that
-   fit are sorted as in 2. Others are parted by fewer offsets, in the end by one; then a part is one string, a repeat if there are two.
+   fit are sorted as in 2. Members of others are put in order over all tasks, by their left and by their right parts. Neighbours' common
+   prefixes bound the offsets at which a member can be a repeat, and what a member shares with some neighbours on both sides is a repeat.
+   Where these leave offsets open, members that may hold such windows are parted by fewer offsets, in the end by one; then a part is one
+   string, a repeat if there are two.
 4. Each text merges its intervals and is cut.
 
 Texts that are equal as a whole are read once; they are repeats of each other throughout. Whole texts, and places of an anchor, are told apart
@@ -23,6 +26,7 @@ result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.cache import small_batches
 from tributary.llm.order_minhash import mixed
-from tributary.llm.suffix_sort import deep_shallow_sort
+from tributary.llm.suffix_sort import common_prefix, deep_shallow_sort
 from tributary.sources.staging import discard, staged
 
 LENGTH, K = 400, 64
@@ -42,6 +46,8 @@ LENGTH, K = 400, 64
 LIMIT, PART, STEPS, SALTS = 4096, 512, (48, 7), 64
 #: Windows hashed at a time, rows of positions or intervals that may go to every task, and hot anchors that may.
 CHUNK, BROADCAST_ROWS, CROWDS = 1 << 19, 3_000_000, 1_000_000
+#: Neighbours on each side in order that a member of a hot part is compared with, and cores asked for that may go to every task.
+NEAR, ASKED = 4, 1_000_000
 _U = np.uint64
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -276,38 +282,140 @@ def _salt(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
-def _classes(members: DataFrame, width: int, length: int) -> DataFrame:
-    """(part, ext, lo, hi, first, last, owner, salt, n) of members (owner, left, context, n, lo, hi): the offsets from lo to hi, `width` at
-    a time. Windows at a part's offsets share a core, whose hash is `part`; `ext` is all that the member's see, from first to last."""
+def _classes(members: DataFrame, width: int, length: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(part, ext, lo, hi, first, last, owner, salt, n) of members (owner, left, context, n, lo, hi, low, high): the offsets from lo to hi,
+    `width` at a time, as far as some lie from low to high. Windows at a part's offsets share a core, whose hash is `part`; `ext` is all
+    that the member's see, from first to last. Only `wanted` parts, if these are given (in order)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["part", "ext", "lo", "hi", "first", "last", "owner", "n"], [pa.int64(), pa.binary(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out = []
-                for owner, left, context, n, lo, hi in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                for owner, left, context, n, lo, hi, low, high in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
                     right = len(context) - left
-                    for begin in range(lo, hi + 1, width):
+                    for begin in range(lo + (low - lo) // width * width, high + 1, width):
                         end = min(begin + width - 1, hi)
                         first, last = max(begin, length - right), min(end, left)
                         if first <= last:
                             core = b"%d %d " % (begin, end) + context[left - begin : left + length - end]
+                            part = xxhash.xxh3_64_intdigest(core) - 2**63
+                            if wanted is not None and ((k := np.searchsorted(wanted, part)) == len(wanted) or wanted[k] != part):
+                                continue
                             seen = b"%d %d " % (first, last) + core + b" " + context[left - last : left + length - first]
-                            out.append((xxhash.xxh3_64_intdigest(core) - 2**63, xxhash.xxh3_128_digest(seen), begin, end, first, last, owner, n))
+                            out.append((part, xxhash.xxh3_128_digest(seen), begin, end, first, last, owner, n))
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    source = members.select("owner", "left", "context", "n", "lo", "hi")
+    source = members.select("owner", "left", "context", "n", "lo", "hi", "low", "high")
     return source.mapInArrow(rows, "part bigint, ext binary, lo int, hi int, first int, last int, owner bigint, n bigint").withColumn("salt", _salt("owner"))
 
 
-def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: int) -> DataFrame:
+SIDES = "owner bigint, part bigint, back binary, right binary, n bigint, lo int, hi int"
+NEIGHBOURS = f"{SIDES}, best int, ranges array<struct<first int, last int>>"
+
+
+def _neighbours(members: DataFrame, by: str, length: int) -> DataFrame:
+    """NEIGHBOURS of SIDES, in order of part, `by` and the other side: the longest common prefix of `by` that the member has with another
+    of its part, and offsets from lo to hi at which a window occurs in a neighbour, too. The first and the last row of a partition do
+    not meet all neighbours, so these meet each other once more; members come in one row or two, and sides are null where not needed."""
+    other, fields = {"back": "right", "right": "back"}[by], [f.split()[0] for f in SIDES.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.int32()] * 3, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[tuple[tuple, list]] = deque()  # rows that still meet others, and [best, ranges, whether the first or last]
+        out: list[tuple] = []
+
+        def leave(row: tuple, found: list) -> None:
+            best, ranges, edge = found
+            sides = row[2:4] if edge else (None, None)
+            out.append((*row[:2], *sides, *row[4:], best, [{"first": a, "last": b} for a, b in ranges]))
+
+        def block() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*fields, "best", "ranges"])
+            out.clear()
+            return made
+
+        begun = False
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, part, back, right, n, lo, hi = row
+                while held and (held[0][0][1] != part or len(held) > NEAR):
+                    leave(*held.popleft())
+                mine = [0, [(max(lo, length - len(right)), min(hi, len(back)))] if n > 1 else [], not begun]
+                begun = True
+                for one, found in held:
+                    l, r = common_prefix(back, one[2]), common_prefix(right, one[3])
+                    first, last = max(lo, length - r), min(hi, l)
+                    for side in (mine, found):
+                        side[0] = max(side[0], l if by == "back" else r)
+                        if first <= last and not any(a <= first and last <= b for a, b in side[1]):
+                            side[1].append((first, last))
+                held.append((row, mine))
+                if len(out) > 2000:
+                    yield block()
+        if held:
+            held[-1][1][2] = True
+        for one in held:
+            leave(*one)
+        if out:
+            yield block()
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["part", by, other]
+    inner = staged(members.select(*fields).repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, NEIGHBOURS), "crowd-neighbours")
+    edges = inner.where("back is not null").select(*fields).coalesce(1).sortWithinPartitions(*keys).mapInArrow(run, NEIGHBOURS)  # two rows of each partition
+    return inner.unionByName(edges)
+
+
+def _settled(members: DataFrame, length: int) -> DataFrame:
+    """(owner, ranges, low, high, begin, end) of members (part, owner, left, context, n, lo, hi): offsets at which a member's windows are known
+    to occur in another place; between which they can; and between which that is open, null if nowhere. Members that can't are left out."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [(c[:at][::-1], c[at:]) for at, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            both = [pa.array([c[i] for c in cuts], pa.binary()) for i in (0, 1)]
+            yield pa.record_batch([*batch.columns[:2], *both, *batch.columns[4:]], names=[f.split()[0] for f in SIDES.split(", ")])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), *[pa.int32()] * 4]
+        for batch in batches:
+            out = []
+            for owner, lo, hi, l, r, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = max(lo, length - r), min(hi, l)
+                known = merged(np.array([(x["first"], x["last"] + 1) for some in lists for x in some], "i8").reshape(-1, 2)).tolist()
+                if known:  # of equal contexts, what they have in common is all that they have
+                    low, high = min(low, known[0][0]), max(high, known[-1][1] - 1)
+                if low > high:
+                    continue
+                ends = [low, *(x for run in known for x in run), high + 1]
+                open_ = [(a, b - 1) for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b]
+                begin, end = (open_[0][0], open_[-1][1]) if open_ else (None, None)
+                out.append((owner, [{"first": a, "last": b - 1} for a, b in known], low, high, begin, end))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["owner", "ranges", "low", "high", "begin", "end"])
+
+    halves = members.select("owner", "part", "left", "context", "n", "lo", "hi").mapInArrow(sides, SIDES)
+    best = lambda by: _neighbours(halves, by, length).select("owner", "lo", "hi", *(F.col("best").alias(s) if s == by else F.lit(0).alias(s) for s in ("back", "right")), "ranges")
+    both = best("back").unionByName(best("right")).groupBy("owner").agg(*(F.max(c).alias(c) for c in ("lo", "hi", "back", "right")), F.collect_list("ranges").alias("lists"))  # four rows at most
+    return both.mapInArrow(settle, "owner bigint, ranges array<struct<first int, last int>>, low int, high int, begin int, end int")
+
+
+def _asked(members: DataFrame, width: int, length: int) -> np.ndarray | None:
+    """Cores of members at offsets that are open, in order; None if there are too many to go to every task."""
+    cores = staged(_classes(members, width, length).select("part").distinct(), "crowd-asked")
+    return np.sort(cores.toPandas()["part"].to_numpy("i8")) if cores.count() <= ASKED else None
+
+
+def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: int, wanted: np.ndarray | None = None) -> DataFrame:
     """(owner, ranges): ranges of offsets (first, last) at which members' windows occur in another place, in one row or several.
 
     Members alike in all that a range of offsets sees are one class. The classes of a part go to one task if there are at most `limit`,
-    else they are parted again, by fewer offsets. With one offset a part is one class, and a repeat if two places have it.
+    else neighbours in order settle what they can, and for what is open they are parted again, by fewer offsets. With one offset a part is
+    one class, and a repeat if two places have it.
     """
-    seen = staged(_classes(members, widths[0], length), "crowd-classes")
+    seen = staged(_classes(members, widths[0], length, wanted), "crowd-classes")
     classes = seen.groupBy("part", "ext").agg(F.sum("n").alias("n"), F.min("owner").alias("rep"), *(F.min(c).alias(c) for c in ("lo", "hi", "first", "last"))).withColumn("salt", _salt("ext"))
     classes = staged(classes, "crowd-parts")
     parts = _spread(classes, "part", "salt", F.lit(1), F.col("n")).where("s1 > 1").select("part", "salt", F.col("s0").alias("size"))
@@ -328,11 +436,17 @@ def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: i
                 yield from ((row[0], first, last) for some, row in zip(ranges, listed, strict=True) for first, last in some)
 
         small = _grouped(several.where(F.col("size") <= limit), ["part"], ["ext", "left", "context", "n"], group, "ext binary, first int, last int")
-        deeper = several.where(F.col("size") > limit).select(F.xxhash64("ext").alias("owner"), "left", "context", "n", "lo", "hi")
+        deeper = several.where(F.col("size") > limit).select(F.xxhash64("ext").alias("owner"), "part", "left", "context", "n", "lo", "hi")
         deeper = staged(deeper, "crowd-members")
         found = found.unionByName(small)
         if not deeper.isEmpty():
-            again = _parted(deeper, widths[1:], length, k, limit)
+            settled = staged(_settled(deeper, length), "crowd-settled")
+            again = settled.where(F.size("ranges") > 0).select("owner", "ranges")
+            unsettled = settled.where("begin is not null").select("owner", F.col("begin").alias("low"), F.col("end").alias("high"))
+            if not unsettled.isEmpty():
+                asked = _asked(deeper.join(unsettled.hint("merge"), "owner"), widths[1], length)
+                partners = staged(deeper.join(settled.select("owner", "low", "high").hint("merge"), "owner"), "crowd-partners")
+                again = again.unionByName(_parted(partners, widths[1:], length, k, limit, asked))
             known = again.join(classes.select(F.xxhash64("ext").alias("owner"), "ext").hint("merge"), "owner")
             found = found.unionByName(known.select("ext", F.inline("ranges")))
     found = staged(found.groupBy("ext").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "crowd-offsets")  # one row each, of a few hundred ranges at most
@@ -343,7 +457,7 @@ def _parted(members: DataFrame, widths: list[int], length: int, k: int, limit: i
 def _crowded(contexts: DataFrame, length: int, k: int, limit: int, steps: tuple[int, ...]) -> DataFrame:
     """As _covered, for contexts of anchors that are met often."""
     rows = contexts.dropDuplicates(["fp", "tid", "left", "context"]).withColumn("owner", F.xxhash64("tid", "left", "context")).withColumn("n", F.size("places").cast("bigint"))
-    rows = staged(rows.select("owner", "tid", "places", "left", "context", "n", F.lit(0).alias("lo"), F.lit(length - k).alias("hi")), "crowds")
+    rows = staged(rows.select("owner", "tid", "places", "left", "context", "n", *(F.lit(v).alias(c) for c, v in (("lo", 0), ("hi", length - k), ("low", 0), ("high", length - k)))), "crowds")
     offsets = _parted(rows, [length - k + 1, *steps, 1], length, k, min(limit, PART))
     lists = offsets.groupBy("owner").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # a few hundred at most
 
