@@ -266,6 +266,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
         features = _features()
         return pd.Series(mixture.rates(np.array([classifier.posteriors(features(t)) for t in texts]).reshape(len(texts), -1)), dtype="f8")
 
+    rate = rate.asNondeterministic()  # else the filter and the projection each evaluate it, in a worker of its own
     n, at = f"copies_{uuid.uuid4().hex}", f"copy_{uuid.uuid4().hex}"  # names that no table has
     often = docs.withColumn(n, copies(rate(F.col(f"`{text}`")), F.col(f"`{doc_id}`"))).where(F.col(n) > 0)
     return often.withColumn(at, F.explode(F.sequence(F.lit(1), n))).drop(n, at)
