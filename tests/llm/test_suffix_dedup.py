@@ -56,6 +56,21 @@ def test_a_passage_that_most_texts_share(spark, monkeypatch):
         assert Counter(map(tuple, S.suffix_digests(docs(spark, rows), length=80, k=16, limit=limit, steps=(12, 5)).collect())) == expected(rows, 80)
 
 
+def test_offsets_that_neighbours_leave_open(spark, monkeypatch):
+    """Members that agree with others on both sides, but not with those next to them in either order."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, sides = word(40), [[word(20) for _ in range(5)] for _ in range(4)]
+    picked = [[rng.choice(s) for s in sides] for _ in range(50)]
+    rows = [(i, a + word(2) * (i % 2) + b + core + c + word(2) * (i % 3 == 0) + d, None, None, None) for i, (a, b, c, d) in enumerate(picked)]
+    open_, asked = [], S._asked
+    monkeypatch.setattr(S, "_asked", lambda members, *rest: open_.append(members.count()) or asked(members, *rest))
+    monkeypatch.setattr(S, "LIMIT", 4)
+    monkeypatch.setattr(S, "NEAR", 1)
+    assert Counter(map(tuple, S.suffix_digests(docs(spark, rows), length=80, k=16, limit=4, steps=(12,)).collect())) == expected(rows, 80)
+    assert sum(open_)
+
+
 def test_no_anchor_goes_to_one_task(spark):
     """The exchange of places leaves out what is met often."""
     found = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("fp"), F.col("id").alias("tid"), F.lit(0).cast("bigint").alias("pos"))
